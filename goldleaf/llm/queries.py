@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, html_text, language_id, line_dedup, media, minhash, mixing, packing, secrets
 from .common import read_table, stored
+from .oracles import ORACLE_SQL
 
 
 def tokenizer_path() -> str:
@@ -90,5 +91,3 @@ QUERIES = {
         op10_media_columns,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
