@@ -17,7 +17,7 @@ def latest_state(log: DataFrame, key: str = "job_id", time: str = "at") -> DataF
 def enqueue(queue: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs to append: those whose dedupe_key no open job has."""
     open_ = queue.where("state IN ('PENDING', 'CLAIMED') AND dedupe_key IS NOT NULL").select("queue_name", "dedupe_key")
-    once = Window.partitionBy("queue_name", F.coalesce("dedupe_key", "job_id")).orderBy("job_id")
+    once = Window.partitionBy("queue_name", F.coalesce("dedupe_key", F.col("job_id").cast("string"))).orderBy("job_id")
     first = jobs.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
     return first.join(open_, ["queue_name", "dedupe_key"], "left_anti")
 
