@@ -98,8 +98,11 @@ def exact_duplicates(
         whole.join(wanted, whole.id.eqNullSafe(wanted.hit_id) & (whole.digest == wanted.hit_digest)).select("id", "digest", "keep_id", "text"),
         "hits",
     )
-    keepers = hit_texts.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("keeper_text"))
-    collided = hit_texts.join(keepers, "digest").where("text <> keeper_text").select("digest").distinct()
+    # Both sides of this join are stored and nothing that needs a digest's rows together stands
+    # above it, so Spark can split the rows of a large group over many tasks.
+    keepers = stored(hit_texts.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("keeper_text")), "keepers")
+    different = stored(hit_texts.join(keepers, "digest").where("text <> keeper_text").select("digest"), "different")
+    collided = different.distinct()
     apart = hit_texts.join(collided, "digest", "left_semi")
     by_text = apart.groupBy("digest", "text").agg(index._extreme("id").alias("true_keep"), F.count(F.lit(1)).alias("true_size"))
     mended = (
