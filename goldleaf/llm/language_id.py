@@ -21,11 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 BINS = 1 << 14
 UNKNOWN = "und"
 MAX_ROWS = 20_000
@@ -130,13 +131,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents with ``lang_pred`` and ``score``."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([model.predict(x) for x in part], columns=["lang_pred", "score"])
-
-    out = docs.withColumn("__guess", guess(docs[text_col].cast("string")))
-    return out.withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")
+    return with_columns(docs.withColumn(text_col, docs[text_col].cast("string")), [text_col], model.predict, "lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

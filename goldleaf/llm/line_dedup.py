@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_columns
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -243,14 +243,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = index.drops(min_docs).select(F.col("id").alias("__id"), F.transform("keys", lambda k: F.concat(F.hex(k["hi"]), F.lit("."), F.hex(k["lo"]))).alias("__keys"))
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left").drop("__id")
 
-    @F.pandas_udf("kept string, n_lines long, n_dropped long")
-    def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, keys in parts:
-            rows = [without_lines(t, _digests(k)) for t, k in zip(text, keys, strict=True)]
-            yield pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
-
-    out = joined.withColumn("__new", rewrite(F.col(text_col).cast("string"), F.col("__keys")))
-    return out.withColumns({text_col: F.col("__new.kept"), "n_lines": F.col("__new.n_lines"), "n_dropped": F.col("__new.n_dropped")}).drop("__new", "__keys")
+    joined = joined.withColumn(text_col, F.col(text_col).cast("string"))
+    rewritten = with_columns(joined, [text_col, "__keys"], lambda text, keys: without_lines(text, _digests(keys)), f"`{text_col}` string, n_lines long, n_dropped long")
+    return rewritten.drop("__keys")
 
 
 def _digests(keys) -> set[bytes]:
