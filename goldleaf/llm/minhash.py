@@ -165,13 +165,15 @@ def near_duplicates(
     # Equal sets: one representative, the least id.
     worded = sketched.where("n > 0")
     chosen = worded.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = chosen.where("copies > 1").drop("copies")
+    # Stored, so that the join below has an exchange right under each side and Spark can split the
+    # rows of a large group of copies over many tasks.
+    copies = stored(chosen.where("copies > 1").drop("copies"), "copies")
     members = worded.select("id", "n", "hi", "lo", "bands").join(copies, ["hi", "lo"], "left").withColumn("rep", F.coalesce("rep", "id"))
     members = stored(members.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
 
     # Buckets of two and more.
     banded = members.where("bands is not null").select("id", "n", F.explode("bands").alias("key"))
-    sized = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sized = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
     bucketed = stored(banded.join(sized, "key"), "buckets")
 
     fits = F.least("a.n", "b.n") * threshold[1] >= F.greatest("a.n", "b.n") * threshold[0]
