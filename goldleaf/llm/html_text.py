@@ -23,12 +23,13 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored, with_columns
+
 #: A comment, a declaration, a tag, or one of these cut off by the end of the page.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -222,13 +223,11 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url and text of each page."""
     tree = style_tree(pages, url_col, html_col).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
-    noise = tree.groupBy("host").agg(F.collect_set("path").alias("low"))
+    # Stored, so that Spark can split the pages of a large host at the join.
+    noise = stored(tree.groupBy("host").agg(F.collect_set("path").alias("low")), "noise")
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("page_host"), pages[html_col].cast("string").alias("html"))
 
-    @F.pandas_udf("string")
-    def read(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, low in parts:
-            yield pd.Series([main_text(h, set(x) if x is not None else frozenset()) for h, x in zip(html, low, strict=True)], dtype=object)
-
     joined = rows.join(noise, rows["page_host"] == noise["host"], "left")
-    return joined.select("page_id", "url", read("html", "low").alias("text"))
+    paired = joined.select("page_id", "url", "html", "low")
+    read = with_columns(paired, ["html", "low"], lambda html, low: (main_text(html, frozenset(low or ())),), "text string")
+    return read.select("page_id", "url", "text")
