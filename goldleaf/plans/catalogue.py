@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from goldleaf.functions import kernels as K
 from goldleaf.functions import vocab
 from goldleaf.model.registry import PERSON
-from goldleaf.operators import blocking, clustering, fallback, gate, governance, household, quality, queue, reads, rules, scoring, shred, store, survive
+from goldleaf.operators import blocking, clustering, fallback, gate, governance, household, ledger, quality, queue, reads, rules, scoring, shred, store, survive
 from goldleaf.sources import landing
 from goldleaf.sources.extract import policy_extract
 from goldleaf.sources.mapping import EXTRACT_MAPPING, load_mapping
@@ -758,6 +758,46 @@ def stale_key_kinds(spark, sf_dir):
     return quality.stale_key_kinds(parties(spark, sf_dir), declared)
 
 
+# -- the ledger
+
+
+@query("SELECT 'run-2' AS run_id, count(*) AS pairs, count(*) FILTER (final_decision = 'MATCH') AS matches, CAST(0 AS BIGINT) AS reviews, round(avg(CAST(zone = 'GREY' AS DOUBLE)), 6) AS ai_share, count(*) FILTER (vetoed) AS vetoed FROM decided", O.SCORED)
+def ledger_latest_run(spark, sf_dir):
+    """Two runs in the ledger; the newest one's summary."""
+    now = stored(decided(spark, sf_dir), "decided")
+    rows = ledger.ledger_rows(now.limit(5), "run-1", "2024-01-01 00:00:00").unionByName(ledger.ledger_rows(now, "run-2", "2024-02-01 00:00:00"))
+    return ledger.run_summary(ledger.latest_run(rows))
+
+
+@query("SELECT o_custkey AS left_id, o_custkey + 1 AS right_id, o_orderstatus AS decision FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderstatus) = 1", plain=True)
+def steward_latest_decision(spark, sf_dir):
+    told = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("left_id"), (F.col("o_custkey") + 1).alias("right_id"), F.col("o_orderstatus").alias("decision"), F.col("o_orderdate").alias("decided_at"))
+    return ledger.latest_decisions(told)
+
+
+@query("SELECT person_id, field_name, failed_checks[list_position(list_transform(failed_checks, lambda c: " + O.case("c", {k: "y" for k in fallback.CHECK_FIELD}, "'n'") + "), 'y')] AS failed_check FROM requested JOIN gated USING (person_id) WHERE length(trim(raw_value)) > 0", _GATED, _ASKED)
+def exception_log(spark, sf_dir):
+    answers = fallback.standardise(fallback.requests(gated(spark, sf_dir)), "44")
+    return ledger.exception_rows(answers, "b1", "2024-01-01 00:00:00").select("person_id", "field_name", "failed_check")
+
+
+@query("SELECT 'B' || CAST(c_custkey AS VARCHAR) AS batch_id, CASE WHEN c_custkey % 4 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'DEAD' ELSE 'DONE' END END AS job_state FROM customer", plain=True)
+def batch_job_states(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "customer").select(F.concat(F.lit("B"), F.col("c_custkey").cast("string")).alias("batch_id"), "c_custkey")
+    jobs = rows.where("c_custkey % 4 <> 0").select(F.concat(F.lit("batch:"), "batch_id").alias("dedupe_key"), F.when(F.col("c_custkey") % 3 == 0, "DEAD").otherwise("DONE").alias("state"))
+    return ledger.batch_states(rows.select("batch_id"), jobs)
+
+
+@query("SELECT count(DISTINCT golden) AS golden_ids, count(*) AS keys, count(DISTINCT source_party_key) AS party_keys FROM (SELECT DISTINCT 'G' || source_party_key AS golden, source_party_key, attr FROM parties, (SELECT unnest(['a', 'b']) AS attr) WHERE length(source_party_key) > 0)")
+def person_lineage(spark, sf_dir):
+    """Every key with what it decided: the crosswalk joined with provenance."""
+    people = parties(spark, sf_dir).where("length(source_party_key) > 0")
+    crosswalk = people.select(F.lit("S").alias("source_system"), "source_party_key", F.concat(F.lit("G"), "source_party_key").alias("golden_id"))
+    told = crosswalk.select(F.col("golden_id").alias("master_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("attribute_name"))
+    rows = reads.lineage(crosswalk, told, F.col("golden_id"))
+    return rows.agg(F.countDistinct("golden_id").alias("golden_ids"), F.count(F.lit(1)).alias("keys"), F.countDistinct("source_party_key").alias("party_keys"))
+
+
 # -- governance, queue and streams
 
 

@@ -316,3 +316,34 @@ def test_export(spark, raw):
     assert {d for _, d in hidden.dtypes} == {"string"} and {r[0] for r in hidden.select("full_name").distinct().collect()} <= {"***", ""}
     assert "|" in shown.where("size(split(full_name, ' ')) = 2").first()["name_tokens"]
     assert quality.prometheus({"a": 1, "b": None}) == "# TYPE goldleaf_a gauge\ngoldleaf_a 1\n"
+
+
+# -- the ledger and jobs over the store
+
+
+def test_ledger(spark, raw, first):
+    from goldleaf.operators import ledger
+
+    rows = stored(ledger.ledger_rows(first.pairs, "r1", "2024-01-01 00:00:00").unionByName(ledger.ledger_rows(first.pairs.limit(3), "r2", "2024-02-01 00:00:00")), "ledger")
+    assert ledger.latest_run(rows).count() == 3
+    one = first.pairs.where("zone = 'AUTO_MATCH'").first()
+    assert "score" in ledger.considered(rows, one["left_id"]).columns
+    said = ledger.steward_decision("b", "a", "MATCH", "me", "2024-01-01 00:00:00", rows).unionByName(ledger.steward_decision("a", "b", "NO_MATCH", "me", "2024-01-02 00:00:00", rows))
+    assert [tuple(r) for r in ledger.latest_decisions(said).collect()] == [("a", "b", "NO_MATCH")]
+    with pytest.raises(ValueError):
+        ledger.steward_decision("a", "a", "MATCH", "me", "2024-01-01 00:00:00", rows)
+
+
+def test_rebuild_and_mining(spark, raw, first):
+    from goldleaf.plans import operations
+
+    landed = stored(landing.landing_rows(raw, MAPPING, "b1", "2024-01-01 00:00:00"), "landed")
+    result = operations.process_landed(landed, MAPPING, "2024-01-01 00:00:00", GoldenStore())
+    person, known = stored(result.person.history, "person"), stored(result.known, "known")
+    plan = operations.rebuild(landed, MAPPING, "2024-03-01 00:00:00", GoldenStore(person, None, known)).report.first()
+    assert (plan["appear"], plan["vanish"], plan["differ"]) == (0, 0, 0) and plan["equal"] == person.count()
+    assert operations.check(person, result.relationships, result.pairs).count() == 0
+    mined = operations.mine(raw, MAPPING, 1)
+    assert mined and all(r.state == "SHADOW" and r.regressions == 0 for r in mined)
+    filled = operations.backfill_columns(person.withColumn("occupation", F.lit(None).cast("string")), person, "person_id", ["occupation"])
+    assert filled.where("occupation IS NOT NULL").count() == person.where("occupation IS NOT NULL").count()
