@@ -69,7 +69,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
 
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return narrow.join(wanted, "id", "left_semi").mapInArrow(build, "id long, shingles binary")
+    # The same join at every size: the texts are dealt out once, whatever the number of candidates.
+    return narrow.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(build, "id long, shingles binary")
 
 
 def _linked(shared: int, a: int, b: int, threshold: tuple[int, int]) -> bool:
