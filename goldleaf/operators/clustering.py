@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldleaf.tables import stored
+from goldleaf.tables import forget, stored
 
 SUSPICIOUS_CLUSTER = 25
 MAX_ROUNDS = 60
@@ -38,13 +38,14 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds grow with the logarithm of the nodes; each is written to the shared folder, so that the
     lineage stays short and a lost executor costs one round.
     """
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", narrow=True)
     before = _sums(now)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now = stored(_small_star(_large_star(now)), "star")
-        after = _sums(now)
+        new = stored(_small_star(_large_star(now)), "star", narrow=True)
+        forget(now)
+        now, after = new, _sums(new)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after

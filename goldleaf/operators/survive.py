@@ -75,6 +75,7 @@ def _prepared(contributors: DataFrame, fields: Sequence[FieldSpec], weights: Map
             "__tie": contributor(contributors.columns),
         }
     )
+    rows = rows.repartition(master)  # one exchange for all that follows: the votes and the aggregate
     voted = [f.name for f in fields if f.survivorship == "MOST_FREQUENT"]
     return rows.withColumns({_frequency(c): F.count(F.lit(1)).over(Window.partitionBy(master, c)) for c in voted}) if voted else rows
 
