@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import hmac
+import secrets
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +40,39 @@ def authorize(roles: Sequence[str], action: str) -> None:
         raise AccessDenied(f"{', '.join(roles) or 'no role'} may not {action}")
 
 
+@dataclass(frozen=True)
+class Principal:
+    """Who acts: a name, roles, and a salted hash of the key that proves it."""
+
+    name: str
+    roles: tuple[str, ...]
+    salt: str
+    key_hash: str
+    active: bool = True
+
+    def may(self, action: str) -> bool:
+        return self.active and may(self.roles, action)
+
+
+def _key_hash(key: str, salt: str) -> str:
+    return hashlib.scrypt(key.encode(), salt=bytes.fromhex(salt), n=1 << 12, r=8, p=1).hex()
+
+
+def create_principal(name: str, roles: Sequence[str]) -> tuple[Principal, str]:
+    """A principal and its key; only the hash is kept, so the key is shown once."""
+    if unknown := set(roles) - set(PERMISSIONS):
+        raise ValueError(f"unknown roles: {sorted(unknown)}")
+    key, salt = secrets.token_urlsafe(32), secrets.token_hex(16)
+    return Principal(name, tuple(roles), salt, _key_hash(key, salt)), key
+
+
+def authenticate(principals: Mapping[str, Principal], name: str, key: str) -> Principal:
+    found = principals.get(name)
+    if found is None or not found.active or not hmac.compare_digest(found.key_hash, _key_hash(key, found.salt)):
+        raise AccessDenied("unknown principal or wrong key")
+    return found
+
+
 def access_record(actor: Column, action: str, person_ids: DataFrame, now: str, masked: bool) -> DataFrame:
     """Rows to append to the access log; nothing ever changes what is in it."""
     return person_ids.select(actor.alias("actor"), F.lit(action).alias("action"), "person_id", F.lit(masked).alias("masked"), F.lit(now).cast("timestamp").alias("accessed_at"))

@@ -23,6 +23,20 @@ def stated_pairs(edges: DataFrame) -> DataFrame:
     return known.join(insured, "policy_id").where("from_id <> to_id")
 
 
+def structural_pairs(edges: DataFrame) -> DataFrame:
+    """from_id, to_id, policy_id, association_type that follow from sharing a policy; nothing groups by them.
+
+    An optional extra: co-owners and co-insured in both directions, who owns cover on whom, and agents.
+    """
+    kinds = {"OWNER": "OWNER", "JOINT_OWNER": "OWNER", "INSURED": "INSURED", "JOINT_INSURED": "INSURED", "AGENT": "AGENT", "WRITING_AGENT": "AGENT", "SERVICING_AGENT": "AGENT"}
+    sided = edges.select("person_id", "policy_id", lookup(kinds, F.col("role")).alias("side")).where("side IS NOT NULL").distinct()
+    table = {"OWNER>OWNER": "CO_OWNER", "INSURED>INSURED": "CO_INSURED", "OWNER>INSURED": "OWNER_OF_INSURED", "INSURED>OWNER": "INSURED_OF_OWNER", "OWNER>AGENT": "SERVICED_BY_AGENT", "AGENT>OWNER": "AGENT_SERVICES"}
+    left = sided.select(F.col("person_id").alias("from_id"), "policy_id", F.col("side").alias("a"))
+    right = sided.select(F.col("person_id").alias("to_id"), "policy_id", F.col("side").alias("b"))
+    joined = left.join(right, "policy_id").where("from_id <> to_id")
+    return joined.withColumn("association_type", lookup(table, F.concat_ws(">", "a", "b"))).where("association_type IS NOT NULL").drop("a", "b")
+
+
 def associations(pairs: DataFrame, parties: DataFrame) -> DataFrame:
     """One row for each pair and kind with its evidence and whether both live at one address."""
     grouped = pairs.groupBy("from_id", "to_id", "association_type").agg(F.array_sort(F.collect_set("policy_id")).alias("evidence_policy_ids"))

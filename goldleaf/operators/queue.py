@@ -30,6 +30,11 @@ def claim(queue: DataFrame, name: str, now: str, limit: int = 1) -> DataFrame:
     return taken.withColumns({"state": F.lit("CLAIMED"), "attempts": F.col("attempts") + 1, "leased_until": at + F.expr(f"INTERVAL {LEASE_SECONDS} SECONDS")})
 
 
+def complete(jobs: DataFrame) -> DataFrame:
+    """Claimed jobs as done; their lease ends."""
+    return jobs.withColumns({"state": F.lit("DONE"), "leased_until": F.lit(None).cast("timestamp")})
+
+
 def failed(jobs: DataFrame, now: str) -> DataFrame:
     """After a failure: pending again in 2**attempts seconds, or dead once the attempts are used up."""
     at = F.lit(now).cast("timestamp")
@@ -49,6 +54,18 @@ def depth(queue: DataFrame) -> DataFrame:
     return queue.groupBy("queue_name", "state").agg(F.count(F.lit(1)).alias("jobs"), F.min("visible_at").alias("oldest"))
 
 
+def operational_snapshot(queue: DataFrame, log: DataFrame, now: str) -> DataFrame:
+    """pending, claimed, dead, oldest_pending_seconds, and done and failed within the last day, in one row."""
+    at = F.lit(now).cast("timestamp")
+    state = F.col("state")
+    waiting = queue.agg(
+        F.count_if(state == "PENDING").alias("pending"), F.count_if(state == "CLAIMED").alias("claimed"), F.count_if(state == "DEAD").alias("dead"),
+        (F.unix_timestamp(at) - F.unix_timestamp(F.min(F.when(state == "PENDING", F.col("visible_at"))))).alias("oldest_pending_seconds"),
+    )
+    recent = log.where((F.col("at") > at - F.expr("INTERVAL 24 HOURS")) & (F.col("at") <= at))
+    return waiting.crossJoin(recent.agg(F.count_if(state == "DONE").alias("done_24h"), F.count_if(state == "FAILED").alias("failed_24h")))
+
+
 # -- models: CANDIDATE, SHADOW, ACTIVE, RETIRED
 
 

@@ -76,6 +76,29 @@ def counterparties(edges: DataFrame) -> DataFrame:
     return mine.join(other, "policy_id").where("person_id <> other_id").groupBy("person_id", "other_id").agg(F.count(F.lit(1)).alias("shared_policies"))
 
 
+def version_history(history: DataFrame, key: str, value: str, limit: int = 20) -> DataFrame:
+    """The newest versions of one entity."""
+    return history.where(F.col(key) == value).orderBy(F.col("version").desc()).limit(limit)
+
+
+def customer_360(golden_id: str, person: DataFrame, crosswalk: DataFrame, provenance: DataFrame, edges: DataFrame, policies: DataFrame, memberships: DataFrame, relations: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """Everything about one party, each part a frame: record, policies, counterparties, sources, household, ..."""
+    mine = edges.where(F.col("person_id") == golden_id)
+    shared = edges.join(mine.select("policy_id").distinct(), "policy_id", "left_semi").where(F.col("person_id") != golden_id)
+    home = memberships.where((F.col("person_id") == golden_id) & F.col("household_id").isNotNull()).select("household_id")
+    return {
+        "record": person.where((F.col("person_id") == golden_id) & F.col("is_current")),
+        "policies": policies_of(mine, policies),
+        "counterparties": shared.groupBy("person_id").agg(F.countDistinct("policy_id").alias("shared_policies")).orderBy(F.col("shared_policies").desc(), "person_id"),
+        "sources": crosswalk.where(F.col("golden_id") == golden_id),
+        "provenance": provenance.where(F.col("master_id") == golden_id),
+        "versions": version_history(person, "person_id", golden_id),
+        "household": memberships.join(home, "household_id", "left_semi"),
+        "relations": relations.where(F.col("person_id") == golden_id).withColumn("label", K.relation_label(F.col("association_type"), F.col("outgoing"))),
+        "considered": pairs.where((F.col("left_id") == golden_id) | (F.col("right_id") == golden_id)).orderBy(F.col("score").desc()).limit(25),
+    }
+
+
 def total_sum_assured(edges: DataFrame, policies: DataFrame) -> DataFrame:
     """person_id, total: over policies that the party owns or is insured by, each once."""
     mine = edges.where(K.role_group(F.col("role")).isin("owns", "insured")).select("person_id", "policy_id").distinct()
@@ -123,4 +146,14 @@ def export_source_shaped(delivered: DataFrame, policy_ids: DataFrame, party_ids:
     return out
 
 
-__all__ = ["KEYS", "browse", "counterparties", "duplicate_check", "export_entity", "export_source_shaped", "flat", "lineage", "mask", "overview", "policies_of", "search", "total_sum_assured"]
+def with_golden_values(shaped: DataFrame, persons: DataFrame, role: str, columns: dict[str, str]) -> DataFrame:
+    """A source-shaped export with a role's delivered columns replaced by the golden record's, where it has one.
+
+    ``columns`` names the attribute for each delivered column; rows stay one for one.
+    """
+    golden = persons.where("is_current").select(F.col("person_id").alias("__id"), *(F.col(a).cast("string").alias(f"__{c}") for c, a in columns.items()))
+    joined = shaped.join(golden, shaped[f"{role.title()}MdmId"] == golden["__id"], "left")
+    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop("__id", *(f"__{c}" for c in columns))
+
+
+__all__ = ["KEYS", "browse", "counterparties", "customer_360", "duplicate_check", "export_entity", "export_source_shaped", "flat", "lineage", "mask", "overview", "policies_of", "search", "total_sum_assured", "version_history", "with_golden_values"]

@@ -55,7 +55,7 @@ def golden_value(spec: FieldSpec, parent: FieldSpec | None = None) -> Column:
     column = F.col(spec.name)
     if parent is not None:
         order = F.when(F.col(parent.name).isNotNull(), _order(parent))
-        return F.get_field(F.max_by(F.struct(column.alias("v")), order), F.lit("v")) if hasattr(F, "get_field") else F.max_by(F.struct(column.alias("v")), order)["v"]
+        return F.max_by(F.struct(column.alias("v")), order)["v"]
     match spec.survivorship:
         case "AGGREGATE_MAX":
             return F.max(column)
@@ -95,7 +95,7 @@ def survive(contributors: DataFrame, entity: EntitySpec, weights: Mapping[str, f
     evidence = [
         F.count(F.lit(1)).cast("int").alias("source_count"),
         F.array_sort(F.collect_set("source_record_id")).alias("contributing_records"),
-        F.array_sort(F.collect_set("source_system")).alias("contributing_sources") if "source_system" not in there else F.array_sort(F.collect_set(F.col("source_system"))).alias("contributing_sources"),
+        F.array_sort(F.collect_set("source_system")).alias("contributing_sources"),
     ]
     return rows.groupBy(master).agg(*values, *evidence)
 
@@ -137,6 +137,13 @@ def provenance(contributors: DataFrame, golden: DataFrame, entity: EntitySpec, m
     )
 
 
+def provenance_rows(disputed: DataFrame, landed: DataFrame) -> DataFrame:
+    """Provenance to append: rows whose winning record has landed, or that name none."""
+    known = landed.select(F.col("source_record_id").alias("winning_source_record_id")).distinct()
+    named = disputed.where("winning_source_record_id IS NOT NULL").join(known, "winning_source_record_id", "left_semi").select(*disputed.columns)
+    return named.unionByName(disputed.where("winning_source_record_id IS NULL"))
+
+
 def report(contributors: DataFrame, golden: DataFrame, disputed: DataFrame, entity: EntitySpec) -> DataFrame:
     """entities, contributors, attributes, contested_attributes, contested_rate in one row."""
     n = len(surviving_fields(entity, contributors.columns))

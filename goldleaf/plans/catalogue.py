@@ -628,6 +628,17 @@ def household_report(spark, sf_dir):
     return household.household_report(household.households(found, people))
 
 
+_SIDE = O.case("role", {"OWNER": "OWNER", "INSURED": "INSURED", "AGENT": "AGENT"}, "NULL")
+_STRUCTURE = O.case("l.side || '>' || r.side", {"OWNER>OWNER": "CO_OWNER", "INSURED>INSURED": "CO_INSURED", "OWNER>INSURED": "OWNER_OF_INSURED", "INSURED>OWNER": "INSURED_OF_OWNER", "OWNER>AGENT": "SERVICED_BY_AGENT", "AGENT>OWNER": "AGENT_SERVICES"}, "NULL")
+
+
+@query(f"SELECT association_type, count(*) AS edges, count(DISTINCT from_id) AS parties FROM (SELECT l.person_id AS from_id, {_STRUCTURE} AS association_type FROM sided l JOIN sided r ON l.policy_id = r.policy_id AND l.person_id <> r.person_id) WHERE association_type IS NOT NULL GROUP BY association_type",
+       f"sided AS (SELECT DISTINCT person_id, policy_number_normalized AS policy_id, {_SIDE} AS side FROM occ)")
+def structural_associations(spark, sf_dir):
+    found = household.structural_pairs(policy_edges(spark, sf_dir))
+    return found.groupBy("association_type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("from_id").alias("parties"))
+
+
 @query("SELECT to_id AS person_id, CAST(count(*) AS INT) AS affiliation_count FROM assoc WHERE association_type IN ('EMPLOYEE_OF', 'TRUST_MEMBER_OF', 'ESTATE_SUBJECT_OF') GROUP BY to_id", O.HOUSEHOLDS)
 def affiliations(spark, sf_dir):
     return household.affiliations(_associations(spark, sf_dir)[1])

@@ -347,3 +347,67 @@ def test_rebuild_and_mining(spark, raw, first):
     assert mined and all(r.state == "SHADOW" and r.regressions == 0 for r in mined)
     filled = operations.backfill_columns(person.withColumn("occupation", F.lit(None).cast("string")), person, "person_id", ["occupation"])
     assert filled.where("occupation IS NOT NULL").count() == person.where("occupation IS NOT NULL").count()
+
+
+# -- models, keys, principals and the views of one party
+
+
+def test_models_are_chosen_and_changed_ones_refused(tmp_path, monkeypatch):
+    from goldleaf.operators import models
+
+    file = tmp_path / "m.onnx"
+    file.write_bytes(b"one")
+    registered = {"path": str(file), "digest": models.digest(file)}
+    assert models.choose("CROSS_ENCODER", "given", registered) == "given" and models.choose("CROSS_ENCODER", None, registered) == str(file)
+    monkeypatch.setenv("GOLDLEAF_CROSS_ENCODER_MODEL", "from-env")
+    assert models.choose("CROSS_ENCODER") == "from-env" and models.choose("STANDARDIZER") is None
+    file.write_bytes(b"two")
+    with pytest.raises(models.ModelRefused):
+        models.choose("CROSS_ENCODER", None, registered)
+
+
+def test_a_model_scores_only_the_grey_zone(first):
+    from goldleaf.operators import models
+
+    verdicts = models.model_scores(first.pairs, lambda m: m[:, 0] * 2, 0.7)
+    assert verdicts.count() == first.pairs.where("zone = 'GREY'").count()
+    both = models.with_verdicts(first.pairs, verdicts)
+    assert both.count() == first.pairs.count() and both.where("zone <> 'GREY' AND ai_score IS NOT NULL").count() == 0
+
+
+def test_identifiers_are_hashed_with_a_key(spark):
+    from goldleaf.functions import identity
+
+    a, b = identity.hash_identifier("ab-12 3", "SSN", b"k"), identity.hash_identifier("AB123", "SSN", b"k")
+    assert a == b != identity.hash_identifier("AB123", "TIN", b"k") != identity.hash_identifier("AB123", "TIN", b"j")
+    assert identity.hash_identifier(" - ", "SSN", b"k") is None
+    with pytest.raises(Exception, match="GOLDLEAF_ID_KEY"):
+        spark.range(1).select(identity.keyed_identifier_hash(F.lit("x"), F.lit("SSN"))).collect()
+
+
+def test_principals():
+    who, key = governance.create_principal("ann", ["STEWARD"])
+    assert governance.authenticate({"ann": who}, "ann", key).may("MERGE") and not who.may("ERASE")
+    for name, secret in (("ann", "wrong"), ("bob", key)):
+        with pytest.raises(governance.AccessDenied):
+            governance.authenticate({"ann": who}, name, secret)
+
+
+def test_customer_360(spark, first):
+    person, edges = stored(first.person.history, "p"), stored(first.relationships, "e")
+    one = edges.where("edge_kind = 'PARTY_POLICY' AND role = 'OWNER'").first()["from_person_id"]
+    crosswalk = first.known.withColumns({"source_system": F.lit("S"), "source_party_key": F.col("person_id")}).drop("person_id")
+    mine = edges.where("edge_kind = 'PARTY_POLICY'").select(F.col("from_person_id").alias("person_id"), F.col("to_policy_id").alias("policy_id"), "role")
+    relations = spark.createDataFrame([(one, "x", "CHILD_OF", False)], "person_id string, other_id string, association_type string, outgoing boolean")
+    view = reads.customer_360(one, person, crosswalk, first.provenance, mine, first.policy.history.select("policy_id", "effective_date"), first.memberships, relations, first.pairs)
+    assert view["record"].count() == 1 and view["policies"].count() >= 1 and view["sources"].count() >= 1 and view["versions"].count() == 1
+    assert view["relations"].first()["label"] == "parent of"
+    shaped = spark.createDataFrame([("r1", one, "delivered"), ("r2", None, "kept")], "id string, OwnerMdmId string, OwnerName string")
+    named = {r["id"]: r["OwnerName"] for r in reads.with_golden_values(shaped, person, "OWNER", {"OwnerName": "full_name"}).collect()}
+    assert named["r2"] == "kept" and len(named) == 2
+
+
+def test_operational_snapshot(spark):
+    jobs = spark.createDataFrame([("PENDING", "2024-01-01 10:00:00"), ("DEAD", "2024-01-01 00:00:00")], "state string, v string").withColumn("visible_at", F.col("v").cast("timestamp"))
+    log = spark.createDataFrame([("DONE", "2024-01-01 09:00:00"), ("FAILED", "2023-12-01 00:00:00")], "state string, t string").withColumn("at", F.col("t").cast("timestamp"))
+    assert tuple(queue.operational_snapshot(jobs, log, "2024-01-01 11:00:00").first()) == (1, 0, 1, 3600, 1, 0)
