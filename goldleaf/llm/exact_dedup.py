@@ -58,7 +58,7 @@ class DigestIndex:
         for run in self.runs[1:]:
             rows = rows.unionByName(run)
         merged = rows.groupBy("digest").agg(self._extreme("id").alias("keep_id"), F.count(F.lit(1)).alias("entries"))
-        self.level = stored(merged.sortWithinPartitions("digest"), "level")
+        self.level = stored(merged.sortWithinPartitions("digest"), "level", narrow=True)
         repeated = self.level.where("entries > 1")
         self._bits = max(32768, BITS_PER_ENTRY * repeated.count())
         self.filter = _with_bit(repeated, self._bits).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
@@ -89,7 +89,7 @@ def exact_duplicates(
     index = DigestIndex(keep)
     rows = index.flush(whole.select("id", "digest"))
     index.compact()
-    found = stored(index.probe(rows), "probed")
+    found = stored(index.probe(rows), "probed", narrow=True)
     hits = found.where("entries > 1")
 
     # Byte verification: the texts of hits only, each against its keeper's text.
@@ -101,7 +101,7 @@ def exact_duplicates(
     # Both sides of this join are stored and nothing that needs a digest's rows together stands
     # above it, so Spark can split the rows of a large group over many tasks.
     keepers = stored(hit_texts.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("keeper_text")), "keepers")
-    different = stored(hit_texts.join(keepers, "digest").where("text <> keeper_text").select("digest"), "different")
+    different = stored(hit_texts.join(keepers, "digest").where("text <> keeper_text").select("digest"), "different", narrow=True)
     collided = different.distinct()
     apart = hit_texts.join(collided, "digest", "left_semi")
     by_text = apart.groupBy("digest", "text").agg(index._extreme("id").alias("true_keep"), F.count(F.lit(1)).alias("true_size"))

@@ -168,19 +168,19 @@ def near_duplicates(
     chosen = worded.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # Stored, so that the join below has an exchange right under each side and Spark can split the
     # rows of a large group of copies over many tasks.
-    copies = stored(chosen.where("copies > 1").drop("copies"), "copies")
+    copies = stored(chosen.where("copies > 1").drop("copies"), "copies", narrow=True)
     members = worded.select("id", "n", "hi", "lo", "bands").join(copies, ["hi", "lo"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    members = stored(members.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    members = stored(members.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members", narrow=True)
 
     # Buckets of two and more.
     banded = members.where("bands is not null").select("id", "n", F.explode("bands").alias("key"))
-    sized = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-    bucketed = stored(banded.join(sized, "key"), "buckets")
+    sized = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes", narrow=True)
+    bucketed = stored(banded.join(sized, "key"), "buckets", narrow=True)
 
     fits = F.least("a.n", "b.n") * threshold[1] >= F.greatest("a.n", "b.n") * threshold[0]
     listed = bucketed.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("all"))
     pairs = listed.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("b"))
-    pairs = stored(pairs.where(fits).where("a.id <> b.id").select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "pairs")
+    pairs = stored(pairs.where(fits).where("a.id <> b.id").select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "pairs", narrow=True)
     large = bucketed.where(F.col("m") > SMALL).select("key", "id", "m")
 
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).unionByName(large.select("id")).distinct()
