@@ -1,54 +1,18 @@
-"""Shared helpers: tables in the cluster's shared folder and null-safe text access."""
+"""Shared helpers of the corpus operators: word counts and Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/goldleaf-checkpoints"
+from goldleaf.tables import forget, read_table, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    ``narrow`` is for tables of ids and digests behind a shuffle: they get at most eight files for each
-    core of the cluster, so that many shuffle partitions don't become many tiny files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    out = df.coalesce(max(32, 8 * spark.sparkContext.defaultParallelism)) if narrow else df
-    out.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table that :func:`stored` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def texts(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, so that extra columns of any name never clash."""
-    return df.select(*(df[c] for c in columns))
+__all__ = ["ascii_words", "batches", "forget", "read_table", "shared_dir", "stored", "with_columns"]
 
 
 def ascii_words(column):

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldleaf.operators.clustering import components
+
 from . import minhash_kernel as kernel
 from .common import stored
-from .components import components
 
 WIDTH = 5
 BANDS, ROWS = 45, 8
