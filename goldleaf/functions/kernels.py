@@ -46,12 +46,16 @@ def name_suffix(normalized: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(normalized, _SUFFIX, 1)), F.lit(""))
 
 
+def without_affixes(normalized: Column) -> Column:
+    """Normalised text less its leading run of honorifics and its trailing run of suffixes.
+
+    The runs are maximal, so a second pass would find nothing; a lone honorific stays.
+    """
+    return F.trim(F.regexp_replace(F.regexp_replace(normalized, _PREFIX, ""), _SUFFIX, ""))
+
+
 def normalize_full_name(x: Column) -> Column:
-    """Normalised text less honorifics and suffixes, twice over; a lone honorific stays."""
-    out = normalize_text(x)
-    for _ in range(2):
-        out = F.trim(F.regexp_replace(F.regexp_replace(out, _PREFIX, ""), _SUFFIX, ""))
-    return out
+    return without_affixes(normalize_text(x))
 
 
 def name_tokens(normalized: Column) -> Column:
