@@ -763,9 +763,9 @@ def duplication(spark, sf_dir):
     return quality.duplication(people, assigned)
 
 
-@query("SELECT 'LIFE_ADMIN' AS source_system, source_key_kind, count(*) AS n FROM parties WHERE source_key_kind <> 'CUSTOMER_ID' GROUP BY source_key_kind")
+@query("SELECT 'POLICY_ADMIN' AS source_system, source_key_kind, count(*) AS n FROM parties WHERE source_key_kind <> 'CUSTOMER_ID' GROUP BY source_key_kind")
 def stale_key_kinds(spark, sf_dir):
-    declared = spark.createDataFrame([("LIFE_ADMIN", "CUSTOMER_ID")], "source_system string, source_key_kind string")
+    declared = spark.createDataFrame([("POLICY_ADMIN", "CUSTOMER_ID")], "source_system string, source_key_kind string")
     return quality.stale_key_kinds(parties(spark, sf_dir), declared)
 
 
