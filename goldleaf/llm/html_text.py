@@ -7,10 +7,14 @@ always looks alike has a low presentation importance. Branches of low composite
 taken out of every page of the host. Nodes of fewer than ``MIN_PAGES`` pages give no evidence.
 Elements that are navigation, headers, footers, asides, forms, adverts, notices or comments by
 their tag, role, class or id go in any case, and where a page marks its article or main element,
-only what is inside stands, whatever the importance: a repeated article is still the article.
+only what is inside stands, less its branches of low importance; the element itself has none.
 
-The tree is kept as counts by (host, path, text digest), summed before the shuffle, so a host with
-most of the pages is spread over many tasks; each page then meets its host's list of noisy paths.
+A repeated article is still the article: inside articles a path, text or style counts once for all
+pages of the same article, known by its h1 or, without one, by its whole text; and an article that
+the tree would take out whole stands.
+
+The tree is kept as counts by (host, path, text digest, article), summed before the shuffle, so a
+host with most of the pages is spread over many tasks; each page then meets its host's noisy paths.
 
 Defined results: a null or empty page has no text; unclosed tags, quotes and comments end with the
 page; an unknown or null url makes a host of its own without evidence; an empty table gives an empty
@@ -74,15 +78,18 @@ def _noisy(tag: str, attributes: str) -> tuple[bool, str]:
 class _Node:
     __slots__ = ("children", "inside", "noisy", "path", "tag")
 
-    def __init__(self, tag: str, path: str, noisy: bool, inside: bool):
+    def __init__(self, tag: str, path: str, noisy: bool, inside: int):
         self.tag, self.path, self.noisy, self.inside, self.children = tag, path, noisy, inside, []
 
 
-def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]], bool]:
-    """Blocks (path, text, noisy, inside an article), styles (path, child sequence), whether there is an article."""
+def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool, int]], list[tuple[str, str, int]], bool]:
+    """Blocks (path, text, noisy, inside), styles (path, child sequence, inside), whether there is an article.
+
+    ``inside`` is the depth of the article's outermost element, 0 outside of articles.
+    """
     html = html or ""
     blocks, styles, held = [], [], []
-    root = _Node("", "", False, False)
+    root = _Node("", "", False, 0)
     stack, at, has_main = [root], 0, False
 
     def flush() -> None:
@@ -101,7 +108,7 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool, bool]], li
         while len(stack) > depth:
             node = stack.pop()
             if node.tag not in INLINE:
-                styles.append((node.path, ",".join(node.children)))
+                styles.append((node.path, ",".join(node.children), node.inside))
 
     while True:
         m = _TAG.search(html, at)
@@ -134,8 +141,8 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool, bool]], li
                 _close_implied(stack, names.split(), scope, close)
         noisy, name = _noisy(tag, m[3])
         parent = stack[-1]
-        inside = parent.inside or (tag in MAIN_TAGS and not noisy and not parent.noisy)
-        has_main = has_main or inside
+        inside = parent.inside or (len(parent.path.split("/")) if tag in MAIN_TAGS and not noisy and not parent.noisy else 0)
+        has_main = has_main or inside > 0
         node = _Node(tag, f"{parent.path}/{name}", noisy or parent.noisy, inside)
         if not parent.children or parent.children[-1] != name:
             parent.children.append(name)
@@ -163,15 +170,26 @@ def _close_implied(stack: list[_Node], names, scope, close) -> None:
 def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's article; ``low`` has digests of the paths of low importance on its host."""
     blocks, _, has_main = page_blocks(html)
-    kept = [text for path, text, noisy, inside in blocks if not noisy and (inside if has_main else not _low_branch(path, low))]
+    own = [(path, text, inside) for path, text, noisy, inside in blocks if not noisy and (inside or not has_main)]
+    kept = [text for path, text, inside in own if not _low_branch(path, low, inside)]
+    if has_main and not kept:
+        kept = [text for _, text, _ in own]
     return "\n\n".join(kept)
 
 
-def _low_branch(path: str, low) -> bool:
+def _low_branch(path: str, low, root: int = 0) -> bool:
+    """Whether the path or one above it, but below the depth ``root``, is of low importance."""
     if not low:
         return False
     parts = path.split("/")
-    return any(path_digest("/".join(parts[:n])) in low for n in range(2, len(parts) + 1))
+    return any(path_digest("/".join(parts[:n])) in low for n in range(root + 2, len(parts) + 1))
+
+
+def _article_digest(blocks: list[tuple[str, str, bool, int]]) -> int:
+    """What names a page's article: its first h1 or, without one, its whole text."""
+    own = [(path, text) for path, text, noisy, inside in blocks if inside and not noisy]
+    head = next((text for path, text in own if path.rsplit("/", 1)[1].split(".")[0] == "h1"), None)
+    return path_digest("\n\n".join(text for _, text in own) if head is None else head)
 
 
 def path_digest(path: str) -> int:
@@ -189,20 +207,24 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            columns: tuple[list, ...] = ([], [], [], [])
+            columns: tuple[list, ...] = ([], [], [], [], [])
             for host, html in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 blocks, styles, _ = page_blocks(html.as_py())
-                rows = {(path_digest(p), 1, path_digest(t)) for p, t, _, _ in blocks} | {(path_digest(p), 2, path_digest(s)) for p, s in styles}
-                rows |= {(path, 0, 0) for path, _, _ in rows}
-                for path, kind, feature in rows:
-                    for column, value in zip(columns, (host, path, kind, feature), strict=True):
+                article = _article_digest(blocks)
+                rows = {(path_digest(p), 1, path_digest(t), article if i else None) for p, t, _, i in blocks}
+                rows |= {(path_digest(p), 2, path_digest(s), article if i else None) for p, s, i in styles}
+                rows |= {(path, 0, 0, within) for path, _, _, within in rows}
+                for row in rows:
+                    for column, value in zip(columns, (host, *row), strict=True):
                         column.append(value)
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "kind", "feature"])
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "kind", "feature", "article"])
 
     narrow = pages.select(host_of(pages[url_col]).alias("host"), pages[html_col].cast("string").alias("html")).where("host is not null")
-    seen = narrow.mapInArrow(features, "host string, path long, kind int, feature long")
-    counted = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+    seen = narrow.mapInArrow(features, "host string, path long, kind int, feature long, article long")
+    # Outside of articles every page counts, inside every article.
+    each = seen.groupBy("host", "path", "kind", "feature", "article").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.groupBy("host", "path", "kind", "feature").agg(F.sum(F.when(F.col("article").isNull(), F.col("n")).otherwise(1)).alias("n"))
     # Per node: sums over features that need no second look at the number of pages.
     log_n, n = F.log("n"), F.col("n")
     node = counted.groupBy("host", "path").agg(

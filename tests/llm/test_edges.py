@@ -240,6 +240,21 @@ def test_site_style_tree_drops_what_recurs(spark):
     assert got[99] == "Same slogan\n\nStory 99 tells of 693"  # one page is no evidence
 
 
+def test_site_style_tree_drops_what_recurs_inside_articles(spark):
+    story = lambda i: f'<body><main><article class="x"><h1>Head {i}</h1><p>Story {i} tells of {i * 7}</p><div class="box"><p>Follow us every day</p></div></article></main></body>'
+    copy = '<body><article><h1>Again</h1><p>The same story</p><div class="box"><p>Follow us every day</p></div></article></body>'
+    near = lambda i: copy.replace("</article>", f'<p class="small">Version {i}</p></article>')
+    bare = "<body><article>Only text</article></body>"
+    rows = [(i, "https://c.example/p", story(i)) for i in range(12)]
+    rows += [(100 + i, "https://copies.example/p", copy) for i in range(12)]
+    rows += [(200 + i, "https://near.example/p", near(i)) for i in range(12)]
+    rows += [(300 + i, "https://bare.example/p", bare) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [f"Head {i}\n\nStory {i} tells of {i * 7}" for i in range(12)]
+    same = "Again\n\nThe same story\n\nFollow us every day"  # the article of every page of its host
+    assert all(got[100 + i] == same and got[200 + i] == f"{same}\n\nVersion {i}" and got[300 + i] == "Only text" for i in range(12))
+
+
 def test_exact(docs, none):
     for keep, of in (("max", max), ("min", min)):
         got = sorted(((r["id"] or 0, r["keep_id"] or 0, r["group_size"]) for r in exact_dedup.exact_duplicates(docs, keep=keep).collect()))
