@@ -32,10 +32,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex")
 
-#: Assignments: name, operator, then a quoted literal, a bare value.
+#: Assignments: name, operator, then a quoted literal, a bare value. A bare name is looked for at the
+#: start of its run only, and runs aren't given back, so names and literals of any length take linear time.
 PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})(?P=q)[ \t]*(?:=>|:=|[=:])[ \t]*"""
-    r"""(?:"(?P<double>[^"\n]{0,4096})"|'(?P<single>[^'\n]{0,4096})'|(?P<bare>[^\s"'#;,(){}\[\]]+))""",
+    r"""(?:(?P<q>["'])|(?<![A-Za-z0-9_.\-])[0-9.\-]*+)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?(q)(?P=q))[ \t]*+(?:=>|:=|[=:])[ \t]*+"""
+    r"""(?:"(?P<double>[^"\n]*+)"|'(?P<single>[^'\n]*+)'|(?P<bare>[^\s"'#;,(){}\[\]]++))""",
     re.ASCII,
 )
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)

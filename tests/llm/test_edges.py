@@ -219,6 +219,17 @@ def test_secrets(docs, none, spark):
     assert (got["n_assign"], got["n_access"], got["n_hex"], got["base_sha256"]) == brute.secrets(source)
 
 
+def test_secrets_of_any_length():
+    rng = random.Random(6)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(10_000))
+    long = "part_" * 18 + "passphrase"
+    assert len(long) == 100
+    for source in (f'privatekey = "{blob}"', f"KEY_BLOB = '{blob}'\ncredential = KEY_BLOB", f'{{"{long}": "{blob[:40]}"}}', f"--{long}={blob[:40]}", f'{long} = "{blob[:40]}"'):
+        start = source.index(blob[:40])
+        name = "credential" if "credential" in source else "privatekey" if "privatekey" in source else long
+        assert [x[:4] for x in secrets.lexed_spans(source)] == [(start, start + (10_000 if blob in source else 40), "literal", name)]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="home"><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head&amp;line</h1><p>One<br>two &lt;x&gt;&nbsp;<b>bold</b><!-- gone --><p>Unclosed<div class="ad">Buy</div><ul><li>a<li>b</ul><form><input value=">">Send</form>
 <section id="comments"><p>First!</p></section><script>var t="</p>";</script></article><aside>Side</aside><footer>Foot</footer>"""
