@@ -42,16 +42,18 @@ PAIR = re.compile(
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)
 REFERENCE = re.compile(r"\$\{?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z", re.ASCII)
 
-#: Score of a name by the parts that make it up.
+#: Score of a name by the parts that make it up; each is high enough for a random literal to pass the threshold.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
-    "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6,
-    "authorization": 0.8, "bearer": 0.8, "signature": 0.5, "key": 0.4, "salt": 0.4, "cookie": 0.4,
+    "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.8,
+    "authorization": 0.8, "bearer": 0.8, "signature": 0.8, "key": 0.8, "salt": 0.8, "cookie": 0.8,
 }
 
 #: Values that only stand for a secret.
 PLACEHOLDERS = {"none", "null", "true", "false", "changeme", "example", "undefined", "redacted", "placeholder", "required", "optional"}
 THRESHOLD = 0.7
+#: Hexadecimal digits of 128 bits and more: that so few characters occur says nothing against them.
+DIGITS = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}\Z", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -77,7 +79,8 @@ def literal_score(value: str) -> float:
     counts = Counter(value)
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.25 * entropy * min(1.0, len(value) / 12) * (0.6 + 0.2 * (classes - 1)))
+    alphabet = 1.0 if DIGITS.match(value) else 0.6 + 0.2 * (classes - 1)
+    return min(1.0, 0.25 * entropy * min(1.0, len(value) / 12) * alphabet)
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str, str, float]]:

@@ -230,6 +230,15 @@ def test_secrets_of_any_length():
         assert [x[:4] for x in secrets.lexed_spans(source)] == [(start, start + (10_000 if blob in source else 40), "literal", name)]
 
 
+@pytest.mark.parametrize("name", [*secrets.SENSITIVE, "session_cookie", "encryption_key", "signing_key", "ssh_key", "sshKey"])
+def test_every_sensitive_name_takes_random_literals(name):
+    for value in ("q9Xv7LmZ2pRt8KwYb4Nc6HsJ", "9233A8ECF7C5B09FE5949719B6B82BC4", "JBSWY3DPEHPK3PXPQ5Z7KMLA2RTUGN4C"):
+        assert [x[:4] for x in secrets.lexed_spans(f'{name} = "{value}"')] == [(len(name) + 4, len(name) + 4 + len(value), "literal", name)]
+    for value in ("primary", "customer_id", "two words", "changeme", "a1"):
+        if secrets.SENSITIVE.get(name, 0) <= 0.8:
+            assert not secrets.lexed_spans(f'{name} = "{value}"')
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="home"><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head&amp;line</h1><p>One<br>two &lt;x&gt;&nbsp;<b>bold</b><!-- gone --><p>Unclosed<div class="ad">Buy</div><ul><li>a<li>b</ul><form><input value=">">Send</form>
 <section id="comments"><p>First!</p></section><script>var t="</p>";</script></article><aside>Side</aside><footer>Foot</footer>"""
