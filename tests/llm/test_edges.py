@@ -294,6 +294,27 @@ def test_hits_are_verified_byte_by_byte(docs):
     assert table(weak) == table(strong)
 
 
+def test_filters_decide_what_is_looked_up(spark):
+    """Single texts reach neither a merge nor the exact lookup; with a full filter all would."""
+    rows = [(i, f"text number {i}") for i in range(3000)] + [(5000 + i, f"text number {i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(8).select("id", exact_dedup.sha256(F.col("text")).alias("digest"), F.spark_partition_id().alias("memtable"))
+    frame = exact_dedup.stored(frame, "test")
+    index = exact_dedup.DigestIndex("max")
+    index.flush(frame)
+    assert index.entries.select("run").distinct().count() == exact_dedup.FAN_IN
+    crossed = {r["maybe"]: r["count"] for r in index.crossed().groupBy("maybe").count().collect()}
+    assert crossed[True] < 0.1 * crossed[False]
+    index.compact()
+    maybe, single = index.split(frame)
+    assert 80 <= maybe.count() < 400 and maybe.count() + single.count() == len(rows)
+    found = {r["id"]: (r["keep_id"], r["entries"]) for r in index.probe(frame).collect()}
+    assert all(found[i] == found[5000 + i] == (5000 + i, 2) for i in range(40)) and all(found[i] == (None, None) for i in range(40, 3000))
+    more = spark.createDataFrame([(9000 + i, f"text number {i}") for i in range(100, 110)], "id long, text string")
+    index.flush(more.select("id", exact_dedup.sha256(F.col("text")).alias("digest"), F.lit(0).alias("memtable")))  # a later batch joins the level
+    level = {r["keep_id"]: r["entries"] for r in index.compact().where("entries > 1").collect()}
+    assert level == {5000 + i: 2 for i in range(40)} | {9000 + i: 2 for i in range(100, 110)}
+
+
 def test_mixing(docs, none):
     rows = mixing.plan_mix(docs).collect()
     assert len(rows) == len(ROWS)
