@@ -6,19 +6,24 @@ the largest id of these. Each shard of the key space has a cuckoo filter of the
 an arriving key that the filter doesn't know is new and skips the exact lookup, one that it may know
 is looked up. Removing documents takes their references back and, at zero, the key and its
 fingerprint, which a Bloom filter could not do. Keys arrive added up (one row a key and batch), so a
-line that every document holds is one row in its shard.
+line that every document holds is one row in its shard. Shards split in two when they hold more than
+``KEYS_PER_SHARD`` keys on average.
 
-Defined results: a null or empty text is one empty line; each input row is a document (rows that
-repeat an id add references each, and all keep the line if the id is the largest); a null id is
-smaller than any other; ``min_docs`` and ``min_chars`` are inclusive; an empty table gives an empty
-result; columns other than ``id_col`` and ``text_col`` pass through in :func:`dedup_lines`.
+:func:`dedup_lines` inserts its table in ``BATCHES`` batches dealt by a hash of the id, so all
+batches but the first meet filled filters; the index after the last one says which lines go.
+
+Defined results: a null or empty text is one empty line; very long texts are split whole; each input
+row is a document (rows that repeat an id add references each, and all keep the line if the id is
+the largest); a null id is smaller than any other; ``min_docs`` and ``min_chars`` are inclusive; an
+empty table gives an empty result; columns other than ``id_col`` and ``text_col`` pass through in
+:func:`dedup_lines`, but for columns named ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +36,8 @@ from .common import stored, with_columns
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
 KEYS_PER_SHARD = 100_000
+SHARDS = 16
+BATCHES = 3
 NO_ID = -(1 << 63)  # in the exact tables, below any id
 SLOTS = 4
 
@@ -123,16 +130,23 @@ class LineIndex:
     """Stored references (hi, lo, id) and the sharded state that sums them up."""
 
     references: DataFrame
-    state: DataFrame  # shard, hi, lo, refs, keeper; one more row a shard has the filter
-    shards: int
+    state: DataFrame | None = None  # shard, hi, lo, refs, keeper; one more row a shard has the filter
+    shards: int = SHARDS
 
     def counts(self) -> DataFrame:
         return self.state.where("filter is null").select("hi", "lo", "refs", F.nullif("keeper", F.lit(NO_ID)).alias("keeper"))
 
+    def asked(self) -> tuple[int, int]:
+        """Of the keys of the last batch: how many were looked up in the exact tables, and how many the filters spared that."""
+        return tuple(self.state.where("filter is not null").agg(F.coalesce(F.sum("refs"), F.lit(0)), F.coalesce(F.sum("keeper"), F.lit(0))).first())
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         new = stored(references(docs, id_col, text_col), "lines")
-        changes = _summed(new).withColumn("recount", F.lit(False))
-        return LineIndex(self.references.unionByName(new), _merge(self.state, changes, self.shards), self.shards)
+        return replace(self, references=self.references.unionByName(new)).counted(new)
+
+    def counted(self, new: DataFrame) -> LineIndex:
+        """The index after adding up references that it holds already."""
+        return self._with(_summed(new).withColumn("recount", F.lit(False)))
 
     def remove(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Take the documents with these ids out again: the index is as if they had never come."""
@@ -142,7 +156,24 @@ class LineIndex:
         touched = self.references.join(gone, matches, "left_semi").select("hi", "lo").distinct()
         still = _summed(left.join(touched, ["hi", "lo"], "left_semi"))
         changes = touched.join(still, ["hi", "lo"], "left").withColumns({"refs": F.coalesce("refs", F.lit(0)), "keeper": F.coalesce("keeper", F.lit(NO_ID)), "recount": F.lit(True)})
-        return LineIndex(left, _merge(self.state, changes.select("hi", "lo", "refs", "keeper", "recount"), self.shards), self.shards)
+        return replace(self, references=left)._with(changes.select("hi", "lo", "refs", "keeper", "recount"))
+
+    def _with(self, changes: DataFrame) -> LineIndex:
+        """Apply key sums: added to what is there, or put in its place where ``recount`` is set."""
+        place = F.pmod(F.xxhash64("hi"), F.lit(self.shards)).cast("int")
+        new = changes.withColumn("shard", place).groupBy("shard")
+        if self.state is None:
+            merged = new.applyInPandas(lambda key, rows: _merge_shard(key[0], None, rows), STATE)
+        else:
+            # After a split the filter rows of the halves are gone and are made again from the exact rows.
+            old = self.state.where(F.col("filter").isNull() | (F.col("of") == self.shards))
+            old = old.withColumn("shard", F.when(F.col("filter").isNull(), place).otherwise(F.col("shard"))).groupBy("shard")
+            merged = old.cogroup(new).applyInPandas(lambda key, held, rows: _merge_shard(key[0], held, rows), STATE)
+        state = stored(merged.withColumn("of", F.lit(self.shards)), "state")
+        shards = self.shards
+        while state.where("filter is null").count() > shards * KEYS_PER_SHARD:
+            shards *= 2
+        return replace(self, state=state, shards=shards)
 
     def drops(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """id and the keys whose lines it loses."""
@@ -151,12 +182,12 @@ class LineIndex:
         return lost.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-    """Insert a whole table into an empty index."""
-    first = stored(references(docs, id_col, text_col), "lines")
-    shards = max(16, first.count() // KEYS_PER_SHARD + 1)
-    changes = _summed(first).withColumn("recount", F.lit(False))
-    return LineIndex(first, _merge(None, changes, shards), shards)
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> LineIndex:
+    """Insert a whole table into an empty index, in batches dealt by a hash of the id."""
+    index = LineIndex(stored(references(docs, id_col, text_col), "lines"))
+    for batch in range(batches):
+        index = index.counted(index.references.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch))
+    return index
 
 
 def references(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,23 +216,15 @@ def _summed(rows: DataFrame) -> DataFrame:
 STATE = "shard int, hi long, lo long, refs long, keeper long, filter binary"
 
 
-def _merge(state: DataFrame | None, changes: DataFrame, shards: int) -> DataFrame:
-    """Apply key sums to the shards: added to what is there, or put in its place where ``recount`` is set."""
-    keyed = changes.withColumn("shard", F.pmod(F.xxhash64("hi"), F.lit(shards)).cast("int"))
-    if state is None:
-        merged = keyed.groupBy("shard").applyInPandas(lambda key, new: _merge_shard(key[0], None, new), STATE)
-    else:
-        merged = state.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(lambda key, old, new: _merge_shard(key[0], old, new), STATE)
-    return stored(merged, "state")
-
-
 def _merge_shard(shard: int, old: pd.DataFrame | None, new: pd.DataFrame) -> pd.DataFrame:
+    """The shard's exact rows after a batch, and its filter with the batch's count of lookups and of keys spared one."""
     columns = ["hi", "lo", "refs", "keeper"]
     if old is None or not len(old):
         table, seen = new[columns].iloc[:0], CuckooFilter.for_keys(len(new))
     else:
         held = old["filter"].notna()
-        seen, table = CuckooFilter.from_bytes(old.loc[held, "filter"].iloc[0]), old.loc[~held, columns]
+        table = old.loc[~held, columns]
+        seen = CuckooFilter.from_bytes(old.loc[held, "filter"].iloc[0]) if held.any() else _filled(table)
     maybe = seen.contains(new["lo"].to_numpy(np.int64)) if len(new) else np.zeros(0, bool)
     fresh, known = new[~maybe], new[maybe]
     if len(known):  # the exact lookup; a false positive of the filter finds nothing and is fresh
@@ -219,14 +242,19 @@ def _merge_shard(shard: int, old: pd.DataFrame | None, new: pd.DataFrame) -> pd.
     fresh = fresh.loc[fresh["refs"] > 0, columns]
     table = pd.concat([table, fresh]) if len(table) else fresh
     if not seen.insert(fresh["lo"].to_numpy(np.int64)):  # too full: build a larger one from the exact table
-        seen = CuckooFilter.for_keys(2 * len(table))
-        while not seen.insert(table["lo"].to_numpy(np.int64)):
-            seen = CuckooFilter(2 * seen.buckets)
+        seen = _filled(table)
     out = table.assign(shard=np.int32(shard), filter=None)[["shard", "hi", "lo", "refs", "keeper", "filter"]]
-    last = pd.DataFrame({"shard": [np.int32(shard)], "hi": [0], "lo": [0], "refs": [0], "keeper": [0], "filter": [seen.to_bytes()]})
+    last = pd.DataFrame({"shard": [np.int32(shard)], "hi": [0], "lo": [0], "refs": [int(maybe.sum())], "keeper": [int((~maybe).sum())], "filter": [seen.to_bytes()]})
     return pd.concat([out, last], ignore_index=True)
 
 
+def _filled(table: pd.DataFrame) -> CuckooFilter:
+    seen = CuckooFilter.for_keys(2 * len(table))
+    while not seen.insert(table["lo"].to_numpy(np.int64)):
+        seen = CuckooFilter(2 * seen.buckets)
+    return seen
+
+
 def without_lines(text: str | None, keys: set[bytes], min_chars: int = MIN_CHARS) -> tuple[str, int, int]:
     """The text less the lines with these keys, its number of lines, and how many went."""
     text = text or ""
