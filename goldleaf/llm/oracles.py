@@ -79,16 +79,20 @@ WITH sized AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
             / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM placed
 ), targets AS (
-  SELECT source, source_size, least(CAST(most AS DOUBLE), (SELECT arg_min(level, place) FROM levels WHERE level * weight <= most) * weight) AS target FROM levels
+  SELECT source, source_size, weight, least(CAST(most AS DOUBLE), (SELECT arg_min(level, place) FROM levels WHERE level * weight <= most) * weight) AS target FROM levels
 ), axis AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, weight,
     coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized JOIN targets USING (source)
+), copies AS (
+  SELECT *, list_filter([start, source_size + start, 2 * source_size + start], lambda s: size > 0 AND 2 * s + size < 2 * target) AS starts FROM axis
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-  CAST(size * (CAST(size > 0 AND 2 * start + size < 2 * target AS INT) + CAST(size > 0 AND 2 * (source_size + start) + size < 2 * target AS INT)
-     + CAST(size > 0 AND 2 * (2 * source_size + start) + size < 2 * target AS INT)) AS BIGINT) AS taken
-FROM axis
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * len(starts) AS BIGINT) AS taken,
+  array_to_string(list_transform(starts, lambda s: CAST(floor(1000000 * CASE weight
+    WHEN 1 THEN (sqrt(2.25::DOUBLE + (-2.0)::DOUBLE * (CAST(s AS DOUBLE) / target)) - 1.5::DOUBLE) / (-1.0)::DOUBLE
+    WHEN 3 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * (CAST(s AS DOUBLE) / target)) - 0.5::DOUBLE) / 1.0::DOUBLE
+    ELSE CAST(s AS DOUBLE) / target END) AS BIGINT)), ',') AS positions
+FROM copies
 """
 
 ORACLE_SQL = {

@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"), bands=45, rows=8, threshold=(85, 100))
     return found.withColumnRenamed("id", "doc_id")
 
 
@@ -69,7 +69,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(read_table(spark, sf_dir, "documents"))
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    # Training positions in millionths, in order, comma-joined.
+    positions = F.array_join(F.transform("positions", lambda p: F.floor(p * 1e6).cast("string")), ",")
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", positions.alias("positions"))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
