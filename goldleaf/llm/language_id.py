@@ -5,18 +5,21 @@ taken as a mixture: expectation-maximisation estimates its language proportions
 likelihoods, and languages leave the mixture one by one, the least share first, for as long as the
 penalised likelihood (log-likelihood less ``penalty * log(trigrams)`` for each language) gains.
 
-The model is learnt from a sample of labelled rows of bounded size, ``max_rows`` for each language,
-drawn by a hash of the id; the documents to predict are always taken whole.
-
-Defined results: ``und`` with score 0 for a null text, or one without a letter; a text whose
-trigrams are all outside the model still gets the likeliest language; ties go to the language that
-sorts first; no labelled rows: every prediction is ``und``; an empty table gives an empty result.
-Columns of the input pass through; ``lang_pred`` and ``score`` are replaced if they are there.
+The model is learnt from a sample of labelled rows of bounded size: ``max_rows`` for each language,
+drawn by a hash of the id, of the ``max_languages`` languages with the most rows; the documents to
+predict are always taken whole.
+
+Defined results: ``und`` with score 0 for a null text, or one without a letter (Unicode category L);
+a text with a letter but without any trigram that the model has seen gets the language that sorts
+first, with score 0, as nothing speaks for it; ties go to the language that sorts first; very long
+texts are counted whole; no labelled rows: every prediction is ``und``; more than ``max_languages``
+values of the language column: the rarer ones (of equal ones those that sort last) aren't learnt;
+rows that repeat an id are predicted each; an empty table gives an empty result. Columns of the
+input pass through; ``lang_pred`` and ``score`` are replaced if they are there.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +33,7 @@ from .common import with_columns
 BINS = 1 << 14
 UNKNOWN = "und"
 MAX_ROWS = 20_000
-MAX_LANGUAGES = 1_000
-LETTER = re.compile(r"[^\W\d_]")
+MAX_LANGUAGES = 256
 
 #: ASCII other than letters becomes a space; bytes of longer code points stay.
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -49,23 +51,24 @@ def trigram_counts(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in sorted order and the probability of each trigram bin in each of them."""
+    """Languages in sorted order, the probability of each trigram bin in each of them, and which bins were seen at all."""
 
     languages: tuple[str, ...]
     likelihood: np.ndarray  # BINS x languages
+    known: np.ndarray  # BINS
     penalty: float = 3.0
 
     def mixture(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the selected languages and their proportions."""
-        seen = np.flatnonzero(counts)
+        seen = np.flatnonzero(counts * self.known)
         c, p = counts[seen].astype(np.float64), self.likelihood[seen]
         n = max(c.sum(), 1.0)
         price = self.penalty * np.log(n + 1)
         active = np.arange(p.shape[1])
         share, fit = _maximise(c, p, np.full(len(active), 1 / len(active)))
         while len(active) > 1:
-            order = share.argsort(kind="stable")
-            rest = np.sort(order[1:])
+            least = len(share) - 1 - int(share[::-1].argmin())  # of equal shares the last one goes
+            rest = np.delete(np.arange(len(share)), least)
             tried, other = _maximise(c, p[:, rest], np.maximum(share[rest], 1e-3))
             if other + price < fit:
                 break
@@ -73,13 +76,20 @@ class Model:
         return active, share
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNKNOWN, 0.0
-        active, share = self.mixture(trigram_counts(text))
+        counts = trigram_counts(text)
+        if not (counts * self.known).any():
+            return self.languages[0], 0.0
+        active, share = self.mixture(counts)
         best = int(share.argmax())
         return self.languages[active[best]], float(min(1.0, share[best]))
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _maximise(c: np.ndarray, p: np.ndarray, share: np.ndarray, rounds: int = 25, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Expectation-maximisation of the proportions: c counts, p likelihoods; also the log-likelihood."""
     total = max(c.sum(), 1.0)
@@ -95,43 +105,46 @@ def _maximise(c: np.ndarray, p: np.ndarray, share: np.ndarray, rounds: int = 25,
     return share, float(c @ np.log(p @ share))
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, smoothing: float = 0.5) -> Model:
-    """Learn from the rows where ``usable`` holds and the language isn't null, ``max_rows`` of each language."""
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES) -> Model:
+    """Learn from the rows where ``usable`` holds and the language isn't null, ``max_rows`` of each of ``max_languages``."""
     rows = docs.select(docs[lang_col].alias("lang"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), docs[text_col].alias("text"), usable.alias("usable"))
     rows = rows.where("usable and lang is not null and text is not null")
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    known = {r["lang"]: r["n"] for r in most.collect()}
     if not known:
-        return Model((), np.zeros((BINS, 0)))
+        return Model((), np.zeros((BINS, 0)), np.zeros(BINS, bool))
+    languages = tuple(sorted(known))
+    place = {lang: i for i, lang in enumerate(languages)}
     steps = 1 << 20
-    limit = F.create_map(*(F.lit(x) for lang, n in known.items() for x in (lang, int(min(1.0, max_rows / n) * steps))))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(steps)) < limit[F.col("lang")]).select("lang", "text")
+    limits = [(lang, place[lang], int(min(1.0, max_rows / n) * steps)) for lang, n in known.items()]
+    sampled = F.broadcast(docs.sparkSession.createDataFrame(limits, "known string, number int, threshold int"))  # a row a language
+    drawn = rows.join(sampled, F.col("lang") == F.col("known"))
+    sample = drawn.where(F.pmod(F.xxhash64("id"), F.lit(steps)) < F.col("threshold")).select("number", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         for part in parts:
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                if lang not in held:
-                    held[lang] = np.zeros(BINS, np.int64)
-                held[lang] += trigram_counts(text.as_py())
-        for lang, counts in held.items():
+            for number, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                if number not in held:
+                    held[number] = np.zeros(BINS, np.int64)
+                held[number] += trigram_counts(text.as_py())
+        for number, counts in held.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["number", "bin", "n"])
 
     # At most BINS rows for each language come to the driver, however many documents there are.
-    counted = sample.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    languages = tuple(sorted(known))
-    totals = np.full((BINS, len(languages)), smoothing)
-    place = {lang: i for i, lang in enumerate(languages)}
-    np.add.at(totals, (counted["bin"].to_numpy(np.int64), counted["lang"].map(place).to_numpy(np.int64)), counted["n"].to_numpy(np.float64))
-    return Model(languages, totals / totals.sum(axis=0))
+    counted = sample.mapInArrow(count, "number int, bin int, n long").groupBy("number", "bin").agg(F.sum("n").alias("n")).toPandas()
+    totals = np.zeros((BINS, len(languages)), np.float64)
+    np.add.at(totals, (counted["bin"].to_numpy(np.int64), counted["number"].to_numpy(np.int64)), counted["n"].to_numpy(np.float64))
+    return Model(languages, (totals + smoothing) / (totals + smoothing).sum(axis=0), totals.any(axis=1))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents with ``lang_pred`` and ``score``."""
 
-    return with_columns(docs.withColumn(text_col, docs[text_col].cast("string")), [text_col], model.predict, "lang_pred string, score double")
+    # At most MAX_LANGUAGES times BINS probabilities.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return with_columns(docs.withColumn(text_col, docs[text_col].cast("string")), [text_col], lambda text: shared.value.predict(text), "lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
