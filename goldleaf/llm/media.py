@@ -6,8 +6,9 @@ chunks. The reader walks the chunks, tests every checksum, inflates, and undoes
 with numpy. The perceptual hash takes the read image down to 32 x 32 block means and keeps the
 signs of its lowest cosine frequencies against their median.
 
-Defined results: a null or empty text becomes one block of padding; equal texts give equal values;
-an empty table gives an empty result; only the named columns are read.
+Defined results: a null or empty text becomes one block of padding; a very long text becomes one
+image of as many rows as it takes; equal texts give equal values, and repeated rows a row each; an
+empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -153,9 +154,7 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-MEDIA = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("feature", pa.string())]
-)
+MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 READ = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
      ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -163,7 +162,7 @@ READ = pa.schema(
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, media (PNG bytes) and feature, read back from the media, of each document."""
+    """id, n_bytes and media (PNG bytes) of each document."""
 
     def convert(parts):
         for part in parts:
@@ -172,13 +171,12 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             def rows(ids=ids, values=values):
                 for i, text in zip(ids.to_pylist(), values, strict=True):
                     text = text.as_py()
-                    file = encode_png(payload(text))
-                    yield i, len((text or "").encode("utf-8", "surrogatepass")), file, cosine_hash(decode_png(file))
+                    yield i, len((text or "").encode("utf-8", "surrogatepass")), encode_png(payload(text))
 
             yield from batches(rows(), MEDIA, 200)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(
-        convert, "doc_id long, n_bytes long, media binary, feature string"
+        convert, "doc_id long, n_bytes long, media binary"
     )
 
 
