@@ -11,19 +11,26 @@ SUSPICIOUS_CLUSTER = 25
 MAX_ROUNDS = 60
 
 
-def _least(arcs: DataFrame) -> DataFrame:
-    return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+def _with_least(arcs: DataFrame) -> DataFrame:
+    """Arcs (u, v) with m, the least of u and its neighbours.
+
+    A hub has most arcs under one key. The join is on a struct of it, so that the sums are dealt out
+    once more and both sides of the join are plain shuffles, which Spark can split where they are skewed.
+    """
+    least = arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return arcs.withColumn("key", F.struct("u")).join(least.select(F.struct("u").alias("key"), "m"), "key").drop("key")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     arcs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return arcs.join(_least(arcs), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(arcs).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = _least(edges)
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    """Every neighbour, and the node itself, is linked to the least of them; edges have the greater node first."""
+    found = _with_least(edges)
+    moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _sums(edges: DataFrame) -> tuple:
