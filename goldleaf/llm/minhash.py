@@ -2,19 +2,25 @@
 
 1. Every document becomes its set of word shingles, a 128-bit digest of it, and the band keys of its
    circulant signature; documents with equal sets collapse to the one with the least id.
-2. Band keys make buckets. In small buckets the pairs of documents are named once each; large ones
-   are cut into blocks, and each pair of blocks is compared inside one task of bounded size, which
-   gives a forest of links and not the pairs, so that no bucket is capped.
-3. Sets are made again from the whole texts of candidates only, and each link is confirmed on them.
-4. Components of the confirmed links are found by star contraction.
+2. Band keys make buckets. In small buckets the pairs of documents are named once each. Each document
+   of large ones is dealt to one block in each of its first ``CHAINS`` large buckets, beside that
+   bucket's pivots; blocks are compared inside a task. Rows are in proportion to the documents.
+3. Components of the links so far are found. A large bucket whose documents are all in one component
+   is done; of the others, only documents outside of the bucket's largest component are compared,
+   block by block, with the documents of other components. No bucket is capped and no pair lost.
+4. Sets are made again from the whole texts of candidates only, and each link is confirmed on them.
+5. Components of all links are found by star contraction.
 
-With 45 bands of 8 coordinates a pair at the threshold of 0.85 shares no band with probability
-``(1 - 0.85**8)**45``, about 6e-7; everything else is exact.
+Blocks are bounded in documents and in shingles. Many documents that share a bucket and are truly
+not linked cost the square of their number in arithmetic, and that over ``BLOCK`` in rows.
+
+With 60 bands of 7 coordinates a pair at the threshold of 0.8 shares no band with probability
+``(1 - 0.8**7)**60``, about 7e-7; with 45 bands of 8 it is 6e-7 at 0.85. Everything else is exact.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
-nothing; rows without an id have no component unless an identified document has the same set, and
-are kept then only; rows that repeat an id are one node; an empty table gives an empty result; only
-the named columns are read.
+nothing; very long texts give their whole set; rows without an id have no component unless an
+identified document has the same set, and are kept then only; rows that repeat an id are one node;
+an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldleaf.operators.clustering import components
@@ -33,11 +39,14 @@ from . import minhash_kernel as kernel
 from .common import stored
 
 WIDTH = 5
-BANDS, ROWS = 45, 8
-THRESHOLD = (85, 100)
+BANDS, ROWS = 60, 7
+THRESHOLD = (80, 100)
 
-#: Buckets of at most SMALL documents name their pairs; larger ones are compared in blocks of BLOCK.
-SMALL, BLOCK = 16, 256
+#: Buckets of at most SMALL documents name their pairs; larger ones are compared in blocks of BLOCK
+#: documents, or of BLOCK_SHINGLES if these are fewer.
+SMALL, BLOCK, BLOCK_SHINGLES = 16, 256, 1 << 20
+#: Large buckets in which a document is compared before components are looked at, and their pivots.
+CHAINS, PIVOTS = 3, 8
 
 SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -94,11 +103,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(test, "u long, v long")
 
 
-def _forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that join whatever is linked between the two blocks (or inside the one) of a group.
+def _forest(ids: np.ndarray, sets: list[np.ndarray], asked: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that join whatever is linked among the pairs for which the matrix ``asked`` holds.
 
-    Overlaps are counted over the shingles that two or more members share, a slice of members at a
-    time; ``first`` says which members are of the first block.
+    Overlaps are counted over the shingles that two or more members share, a slice of members at a time.
     """
     sizes = np.array([len(s) for s in sets])
     everything = np.concatenate(sets)
@@ -108,17 +116,16 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, threshol
     member = np.repeat(np.arange(len(sets)), sizes)
     use = shared[where]
     member, place = member[use], column[where[use]]
+    order = np.argsort(place, kind="stable")
+    member, place = member[order], place[order]
     total = np.zeros((len(sets), len(sets)), np.float32)
     for at in range(0, int(shared.sum()), 4096):
-        mask = (place >= at) & (place < at + 4096)
+        here = slice(*np.searchsorted(place, (at, at + 4096)))
         bits = np.zeros((len(sets), 4096), np.float32)
-        bits[member[mask], place[mask] - at] = 1
+        bits[member[here], place[here] - at] = 1
         total += bits @ bits.T
     union = sizes[:, None] + sizes[None, :] - total
-    link = (threshold[1] * total >= threshold[0] * union) & (np.tri(len(sets), k=-1) > 0)
-    one_block = first.all() or not first.any()
-    if not one_block:
-        link &= first[:, None] != first[None, :]
+    link = (threshold[1] * total >= threshold[0] * union) & asked & (np.tri(len(sets), k=-1) > 0)
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -136,20 +143,66 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, threshol
     return out
 
 
-def _block_links(large: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links (u, v) inside large buckets (key, id, m): rows of block x meet those of block y in one task."""
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    own = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = own.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", "id", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    groups = met.join(sets, "id")
+def _compared(groups: DataFrame, by: tuple[str, ...], sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (u, v) inside groups of rows (by, id, kin): between members of different kin, or of any if it is null."""
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id")
-        found = _forest(rows["id"].to_numpy(np.int64), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], (rows["own"] == key[1]).to_numpy(), threshold)
+        kin = rows["kin"].to_numpy()
+        asked = np.ones((len(kin), len(kin)), bool) if rows["kin"].isna().all() else kin[:, None] != kin[None, :]
+        found = _forest(rows["id"].to_numpy(np.int64), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], asked, threshold)
         return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
-    return groups.groupBy("key", "x", "y").applyInPandas(compare, "u long, v long")
+    return groups.join(sets, "id").groupBy(*by).applyInPandas(compare, "u long, v long")
+
+
+def _blocks(documents: Column, shingles: Column) -> Column:
+    """Number of blocks for so many documents with so many shingles."""
+    return F.greatest(F.ceil(documents / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _chained(large: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links inside blocks of the first large buckets of each document: rows are ``CHAINS`` a document, and pivots."""
+    # Buckets of a document by key; at most one for each band, so a window over few rows.
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("key"))
+    first = large.withColumn("rank", rank).where(F.col("rank") <= CHAINS).select("key", "id", "m", "shingles_m")
+    dealt = first.withColumn("blocks", _blocks(F.col("m"), F.col("shingles_m")))
+    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    # The least ids of a bucket stand in each of its blocks.
+    least = _least_ids(first.select("key", "id"), PIVOTS)
+    blocks = dealt.select("key", "x").distinct()
+    pivots = blocks.join(least, "key").select("key", "x", F.explode("least").alias("id"))
+    groups = dealt.select("key", "x", "id").unionByName(pivots).withColumn("kin", F.lit(None).cast("long"))
+    return _compared(groups, ("key", "x"), sets, threshold)
+
+
+def _least_ids(rows: DataFrame, n: int) -> DataFrame:
+    """key, least: ``n`` small ids of each bucket, the least one among them, from the minima of its slices."""
+    sliced = rows.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(8 * n)).alias("slice")).agg(F.min("id").alias("id"))
+    return sliced.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("id")), 1, n).alias("least"))
+
+
+def _crossed(large: DataFrame, found: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components inside large buckets: what isn't of a bucket's largest component meets all others."""
+    own = large.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("kin", F.coalesce("component", "id"))
+    kins = own.groupBy("key", "kin").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    # The largest component of each bucket, and what lies outside of it.
+    heads = kins.groupBy("key").agg(F.max(F.struct("members", "weight", "kin")).alias("head"), F.sum("members").alias("members"), F.sum("weight").alias("weight"))
+    heads = heads.where("members > head.members").select(
+        "key",
+        F.col("head.kin").alias("head"),
+        _blocks(F.col("head.members"), F.col("head.weight")).alias("head_blocks"),
+        _blocks(F.col("members") - F.col("head.members"), F.col("weight") - F.col("head.weight")).alias("rest_blocks"),
+    )
+    open_ = stored(own.join(stored(heads, "heads", narrow=True), "key").select("key", "id", "kin", F.col("kin") == F.col("head"), "head_blocks", "rest_blocks").toDF("key", "id", "kin", "major", "head_blocks", "rest_blocks"), "open", narrow=True)
+    rest = open_.where("not major").withColumn("own", F.pmod(F.xxhash64("id"), F.col("rest_blocks")).cast("int"))
+    head = open_.where("major").withColumn("own", F.pmod(F.xxhash64("id"), F.col("head_blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
+    # Groups (rest block x, rest block y >= x), and (rest block x, head block y) with y counted from -1 downwards.
+    among = rest.select("key", "id", "kin", "own", F.explode(every).alias("other")).select("key", "id", "kin", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    ahead = head.select("key", "id", "kin", F.explode(every).alias("x"), (-F.col("own") - 1).alias("y"))
+    towards = rest.select("key", "id", "kin", F.col("own").alias("x"), F.explode(F.sequence(F.lit(1), F.col("head_blocks"))).alias("y")).withColumn("y", -F.col("y"))
+    return _compared(among.unionByName(ahead).unionByName(towards), ("key", "x", "y"), sets, threshold)
 
 
 def near_duplicates(
@@ -175,19 +228,21 @@ def near_duplicates(
 
     # Buckets of two and more.
     banded = members.where("bands is not null").select("id", "n", F.explode("bands").alias("key"))
-    sized = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes", narrow=True)
+    sized = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles_m")).where("m > 1"), "sizes", narrow=True)
     bucketed = stored(banded.join(sized, "key"), "buckets", narrow=True)
 
     fits = F.least("a.n", "b.n") * threshold[1] >= F.greatest("a.n", "b.n") * threshold[0]
     listed = bucketed.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("all"))
     pairs = listed.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("b"))
     pairs = stored(pairs.where(fits).where("a.id <> b.id").select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "pairs", narrow=True)
-    large = bucketed.where(F.col("m") > SMALL).select("key", "id", "m")
+    large = bucketed.where(F.col("m") > SMALL).select("key", "id", "n", "m", "shingles_m")
 
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).unionByName(large.select("id")).distinct()
     sets = stored(_sets(docs, wanted, id_col, text_col, width).dropDuplicates(["id"]), "sets")
-    links = _verified(pairs, sets, threshold).unionByName(_block_links(large, sets, threshold))
-    found = components(links)
+    found = components(_verified(pairs, sets, threshold).unionByName(_chained(large, sets, threshold)))
+    crossed = _crossed(large, found, sets, threshold)
+    # A component's links are those to its least node, which stands for it from here on.
+    found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(crossed))
 
     placed = members.select("id", "n", "rep").join(found, F.col("rep") == F.col("node"), "left")
     placed = placed.select("id", "n", F.coalesce("component", "rep").alias("component_id"))

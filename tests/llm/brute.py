@@ -27,8 +27,8 @@ def shingles(text, width=5):
     return frozenset([tuple(w)]) if len(w) < width else frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
 
 
-def near(docs):
-    """doc_id -> (n_shingles, component_id)"""
+def near(docs, part=85):
+    """doc_id -> (n_shingles, component_id), linked at ``part`` in 100"""
     sets = {i: shingles(t) for i, t in docs}
     root = {i: i for i in sets}
 
@@ -47,7 +47,7 @@ def near(docs):
             for b in ids[:n]:
                 shared[a, b] += 1
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= part * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}

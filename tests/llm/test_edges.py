@@ -47,10 +47,10 @@ def none(docs):
 
 
 def test_near_duplicates(docs, none):
-    got = {(r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    got = {(r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, threshold=(85, 100)).collect()}
     want = brute.near([(i, t) for i, t, *_ in dict.fromkeys(ROWS) if i is not None])
     assert {(i, n, c, i == c) for i, (n, c) in want.items()} | {(None, 6, 1, False), (None, 0, None, True)} == got
-    assert minhash.near_duplicates(none).count() == 0
+    assert minhash.near_duplicates(none, threshold=(85, 100)).count() == 0
 
 
 def test_large_buckets_are_compared_in_blocks(spark):
@@ -63,10 +63,45 @@ def test_large_buckets_are_compared_in_blocks(spark):
         for at in rng.sample(range(150), rng.choice([1, 2, 3, 6])):
             words[at] = f"x{i}_{at}"
         rows.append((i, " ".join(words)))
-    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), threshold=(85, 100)).collect()}
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_large_buckets_of_several_components(spark, monkeypatch):
+    """Families of near copies that meet in buckets: exact at the default threshold, with small blocks as well."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for family in range(5):
+        words = list(base)
+        for at in rng.sample(range(120), 4 * family):
+            words[at] = f"f{family}_{at}"
+        for i in range(60):
+            own = list(words)
+            for at in rng.sample(range(120), rng.choice([0, 1, 2])):
+                own[at] = f"x{family}_{i}_{at}"
+            rows.append((1000 * family + i, " ".join(own)))
+    rows.append((9999, " ".join(f"long{i}" for i in range(30_000))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: c for i, (_, c) in brute.near(rows, part=80).items()}
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "CHAINS", 1)
+    assert {r["id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()} == want
+
+
+def test_rows_of_a_large_bucket_grow_with_its_documents(spark, monkeypatch):
+    """A bucket of near copies of one text: no pair of blocks is left to compare once they are one component."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[: i % 400], f"x{i}", *base[i % 400 + 1 :]])) for i in range(1200)]
+    sent = []
+    compared = minhash._compared
+    monkeypatch.setattr(minhash, "_compared", lambda groups, *rest: sent.append(groups.count()) or compared(groups, *rest))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=(85, 100)).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert sent[0] <= 1.2 * minhash.CHAINS * len(rows) and sent[1] == 0
+
+
 def test_signatures_are_circulant():
     from goldleaf.llm import minhash_kernel as kernel
 
