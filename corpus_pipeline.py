@@ -7,7 +7,7 @@ empty and very long texts, repeated rows, extra columns and empty tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldleaf.llm import language_id, line_dedup, minhash, mixing, packing
@@ -36,24 +36,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates; rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    first = named.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")))
-    return first.where("__n = 1").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    """One document, that of the least id, of each group of near-duplicates (five words, similarity of 0.8).
+
+    Rows are told apart by a number of their own, not by their id: rows that share an id, or have
+    none, stay unless their texts are near-duplicates. Of a group rows without an id rank last, and
+    rows of one id by their text.
+    """
+    numbered = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    found = minhash.near_duplicates(numbered, id_col="row").select(F.col("id").alias("row"), "component_id")
+    names = numbered.select("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("text"), "row").alias("name"))
+    kept = found.join(names, "row").groupBy("component_id").agg(F.min("name")["row"].alias("row"))
+    return numbered.join(kept.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: left out, once, or up to three times.
+    """Every document as often as the mix takes it (left out, once, or up to three times), by training position.
 
-    The copies lie in no order here, as the next stage sorts by length; ``mixing.mixed_stream``
-    gives them by training position.
+    Each row is mixed on its own, also where rows share an id or have none.
     """
-    docs = docs.select(*COLUMNS)
-    plan = mixing.plan_mix(docs).groupBy("id").agg(F.max("copies").alias("copies"))
-    joined = docs.join(plan.where("copies > 0"), docs["doc_id"].eqNullSafe(plan["id"]))
-    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
