@@ -38,7 +38,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after = stages[0][2], stages[0][3]
-    want = brute.near([(i, r["text"]) for i, r in before.items() if i is not None])
+    want = brute.near([(i, r["text"]) for i, r in before.items() if i is not None], part=80)
     assert set(after) == {i for i, (_, c) in want.items() if i == c} | {None}
 
 
@@ -67,6 +67,25 @@ def test_packing(stages):
     assert stages[1][5].where("piece = 0").count() == stages[1][4].count()
 
 
+def test_rows_that_share_an_id_or_have_none(spark, sf_dir):
+    """Near-duplicates go by their texts, whatever the ids; mixing takes each row on its own; long texts and clashing columns pass."""
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [
+        (1, "alpha beta gamma delta epsilon zeta", "en", "a", 35), (1, "a wholly different text under the same id", "en", "a", 41), (2, base, "en", "a", len(base)),
+        (2, base + " end", "en", "a", len(base) + 4), (None, base, "en", "b", len(base)), (None, "one without an id at all", None, "b", 24), (None, "one without an id at all", None, "b", 24),
+        (3, None, None, None, None), (4, " ".join(f"very{i}" for i in range(50_000)), "en", "a", None),
+    ]
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS).schema
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in ("row", "id", "component_id", "keys", "lang_pred", "n")})
+    kept = stored(corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir), "test").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) if r["text"] else ("3", "") for r in kept) == sorted([("1", rows[0][1]), ("1", rows[1][1]), ("2", next(r["text"] for r in kept if r["doc_id"] == 2)), ("None", rows[5][1]), ("3", ""), ("4", rows[8][1])])
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()
+    assert {r["text"] for r in mixed if r["doc_id"] is None} <= {base, rows[5][1]} and all(tuple(r) in set(rows) for r in mixed)
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir)
+    assert lines.count() == len(rows) and lines.columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.identify_language(spark, docs, sf_dir).count() == 8
+
+
 def test_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
