@@ -1,40 +1,98 @@
-"""Tables in the shared folder, and paths of the provided tables."""
+"""Tables in the shared folder, when they are deleted again, and paths of the provided tables."""
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/goldleaf-checkpoints"
 
+_scopes = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return LOCAL_CHECKPOINTS
 
 
 def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     ``narrow`` is for tables of ids and digests behind a shuffle: they get at most eight files for each
-    core of the cluster, so that many shuffle partitions don't become many tiny files.
+    core of the cluster, so that many shuffle partitions don't become many tiny files. Inside a
+    :class:`Scratch` the table goes when that ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if scopes := getattr(_scopes, "open", None):
+        scopes[-1].paths.append(path)
     out = df.coalesce(max(32, 8 * spark.sparkContext.defaultParallelism)) if narrow else df
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Deletes at its end what was stored inside it, but for its results, which are the outer scope's::
+
+        with Scratch(spark) as scratch:
+            ...
+            return scratch.result(df, "result")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    @contextmanager
+    def held(self):
+        """Collect what is stored inside, to be deleted by :meth:`clear`."""
+        if not hasattr(_scopes, "open"):
+            _scopes.open = []
+        _scopes.open.append(self)
+        try:
+            yield self
+        finally:
+            _scopes.open.remove(self)
+
+    def __enter__(self) -> Scratch:
+        self._holding = self.held()
+        return self._holding.__enter__()
+
+    def __exit__(self, *error) -> None:
+        self._holding.__exit__(*error)
+        self.clear()
+
+    def result(self, df: DataFrame, label: str, narrow: bool = True) -> DataFrame:
+        """``df`` stored for whoever opened the scope around this one."""
+        inner = _scopes.open.pop()
+        try:
+            return stored(df, label, narrow)
+        finally:
+            _scopes.open.append(inner)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that :func:`stored` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
