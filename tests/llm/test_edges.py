@@ -328,6 +328,60 @@ def test_site_style_tree_drops_what_recurs_inside_articles(spark):
     assert all(got[100 + i] == same and got[200 + i] == f"{same}\n\nVersion {i}" and got[300 + i] == "Only text" for i in range(12))
 
 
+def test_names_alone_remove_no_article():
+    probes = {
+        '<div class="with-sidebar"><p>A text that stands</p></div>': "A text that stands",
+        '<article><div class="comment-enabled post"><p>Good</p></div></article>': "Good",
+        '<main><section id="related-work"><p>Earlier work</p></section></main>': "Earlier work",
+        '<p>Good <span class="share">x</p>': "Good",
+        "<p title=don't>one</p>": "one",
+        '<p>text <a href="foo>lost': "text",
+        '<div class="comments"><p>The page</p></div>': "The page",
+        '<form action="/"><h1>T</h1><p>All of the page</p></form>': "T\n\nAll of the page",
+        "<nav><a>Home</a></nav>": "",
+        '<p>A text of some length</p><div class="share-buttons">Share</div><div class="relatedPosts">Other</div>': "A text of some length",
+        '<header><h1>Site</h1></header><article><p>Inside</p></article><div>beside</div>': "Inside",
+        '<a title="x>y">1 < 2</a> & </ 3>4': "1 < 2 & 4",
+        "<p" + " a" * 200_000 + ">deep" + "<div>" * 50_000 + "x" + "</i><b>" * 50_000: "deep\n\nx",
+    }
+    assert {html: html_text.main_text(html) for html in probes} == probes
+
+
+def test_importance_is_that_of_entropies_and_decides(spark):
+    """The tree against its definition, without and with article; and the same pages with the tree switched off."""
+    import math
+    from collections import defaultdict
+
+    rng = random.Random(12)
+    plain = lambda i: f'<div class="a"><p>{rng.choice(["Slogan", "Motto"])}</p></div><div class="b"><p>Story {i}</p><p>More of {i}</p></div><div class="c">{rng.choice(["<b>x</b>", "<i>x</i>", "x"])}</div>'
+    rows = [(i, "https://one.example/", f"<body>{plain(i)}</body>") for i in range(30)]
+    rows += [(100 + i, "https://two.example/", f"<body><article><h1>Head {i}</h1>{plain(i)}</article></body>") for i in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in html_text.style_tree(frame).collect()}
+    pages, texts, styles = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+    for i, url, html in rows:
+        host, page = url[8:19], html_text.Page(html)
+        for node, pieces in page.blocks:
+            pages[host, node.path].add(i)
+            texts[host, node.path]["".join(t for _, t in pieces)].add(i)
+        for node, style in page.styles():
+            pages[host, node.path].add(i)
+            styles[host, node.path][style].add(i)
+    for key, held in pages.items():
+        m = math.log(len(held))
+        content = 1 - sum(math.log(len(n)) for n in texts[key].values()) / len(texts[key]) / m if texts[key] else None
+        shown = sum(len(n) for n in styles[key].values())
+        look = -sum(len(n) / shown * math.log(len(n) / shown) for n in styles[key].values()) / m if shown else 0.0
+        want = 1.0 if content is None else 0.9 * content + 0.1 * look
+        pages_got, importance = got[key]
+        assert pages_got == len(held) and importance == pytest.approx(want)
+    on = {r["page_id"]: r["text"] for r in html_text.extract(frame).collect()}
+    off = {r["page_id"]: r["text"] for r in html_text.extract(frame, recurrent=0.0).collect()}
+    for i in range(30):
+        assert on[i] == f"Story {i}\n\nMore of {i}" and on[100 + i] == f"Head {i}\n\n{on[i]}"
+        assert off[i].startswith(("Slogan", "Motto")) and on[i] in off[i] and off[100 + i] != on[100 + i]
+
+
 def test_exact(docs, none):
     for keep, of in (("max", max), ("min", min)):
         got = sorted(((r["id"] or 0, r["keep_id"] or 0, r["group_size"]) for r in exact_dedup.exact_duplicates(docs, keep=keep).collect()))
