@@ -1,6 +1,8 @@
 """The dealt methods against plain versions of them: mixtures, schedules, logs, images, tokens."""
 
+import json
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from goldleaf.llm import chat, language_id, media, mixing, packing, queries
+from goldleaf.llm import chat, language_id, media, mixing, packing, queries, secrets
 
 from . import brute
 
@@ -211,3 +213,105 @@ def test_tokenizers_agree_on_any_text():
     texts += ["".join(f"a{chr(c)} {chr(c)}{chr(c)}1" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000) for start in range(0, 0x20000, 64)]
     for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert packing.token_ids(text, queries.tokenizer_path()).tolist() == want.ids
+
+
+# -- secrets
+
+RANDOM = "q9Xv7LmZ2pRt8KwYb4Nc6HsJ"
+
+
+def found(source):
+    return [(source[start:end], name) for start, end, _, name, _ in secrets.lexed_spans(source)]
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    (f'passphrase = "aB3\\"x{RANDOM}"', [(f'aB3\\"x{RANDOM}', "passphrase")]),
+    (f'KEY = "{RANDOM[:12]}" + "{RANDOM[12:]}"\nDB_PWD = KEY', [(RANDOM[:12], "DB_PWD"), (RANDOM[12:], "DB_PWD")]),
+    (f'a = "{RANDOM}"\nb = a + "xyz"\npassphrase = ${{b}}', [(RANDOM, "passphrase"), ("xyz", "passphrase")]),
+    (f"vault:\n  credentials:\n    value: {RANDOM}\nother: {RANDOM}", [(RANDOM, "value")]),
+    (f"[credentials]\nvalue = {RANDOM}\n[paths]\nvalue = {RANDOM}", [(RANDOM, "value")]),
+    (f'{{"vault": {{"passphrase_store": {{"value": "{RANDOM}"}}, "id": "{RANDOM}"}}}}', [(RANDOM, "value")]),
+    (f"os.environ['SIGNING_KEY'] = '{RANDOM}'", [(RANDOM, "os.environ.SIGNING_KEY")]),
+    (f"const signingKey: string = `{RANDOM}`;", [(RANDOM, "signingKey")]),
+    (f'#define API_SALT "{RANDOM}"\nint cookie = API_SALT;', [(RANDOM, "API_SALT")]),
+    (f'conf.set("auth.cookie", "{RANDOM}")', [(RANDOM, "auth.cookie")]),
+    (f"run --passphrase {RANDOM} --other {RANDOM}", [(RANDOM, "passphrase")]),
+    (f"<credential>{RANDOM}</credential><name>{RANDOM}</name>", [(RANDOM, "credential")]),
+    (f'<add key="DbPwd" value="{RANDOM}"/>', [(RANDOM, "DbPwd")]),
+    (f"Authorization: Bearer {RANDOM}", [(RANDOM, "Authorization")]),
+    (f"it's a 'b', don't passphrase = '{RANDOM}'", [(RANDOM, "passphrase")]),
+    (f'passphrase = """{RANDOM}"""', [(RANDOM, "passphrase")]),
+    (f'dsn = "host=a;pwd={RANDOM};x=1"', [(RANDOM, "pwd")]),
+    (f'f() {{ k = "{RANDOM}"; }}\npassphrase = k', []),  # the block's binding ended
+    (f'k = "short1"\nf() {{ k = "{RANDOM}"; passphrase = k }}', [(RANDOM, "passphrase")]),
+    (f'# k = "{RANDOM}"\npassphrase = k', []),  # a comment binds nothing
+    (f'passphrase: str = input("{RANDOM}")', []),
+    (f'checksum = "{RANDOM}"', []),
+])
+def test_pairs_that_no_base_pattern_matches(source, want):
+    assert found(source) == want and not secrets.base_spans(source)
+
+
+def test_json_against_its_parser():
+    """Every literal of random documents, under the names that a JSON parser gives it."""
+    rng = random.Random(13)
+    names = ["passphrase", "user", "signing_key", "host", "credentials", "id", "cookie", "note", "sshKey", "port"]
+    alphabet = "abcXYZ019+/_-é\"\\\t'{}=:"
+
+    def tree(depth):
+        return {rng.choice(names) + str(n): tree(depth - 1) if depth and rng.random() < 0.4 else "".join(rng.choices(alphabet, k=rng.randrange(0, 30))) for n in range(4)}
+
+    def leaves(node, names):
+        for name, value in node.items():
+            if isinstance(value, dict):
+                yield from leaves(value, [*names, name])
+            else:
+                weight = max(secrets.name_score(name), *(secrets.AROUND * secrets.name_score(n) for n in names), 0.0)
+                raw = json.dumps(value, ensure_ascii=False)[1:-1]
+                literal = secrets.literal_score(secrets._ESCAPE.sub(r"\1", raw))
+                if weight * (0.4 + 0.6 * literal) >= secrets.THRESHOLD and literal:
+                    yield raw, name
+
+    total = 0
+    for n in range(300):
+        made = tree(3)
+        source = json.dumps(made, ensure_ascii=False, indent=rng.choice([None, 2]))
+        want = Counter(leaves(made, []))
+        got = Counter(x for x in found(source) if x[1][:-1] in names)
+        assert +(want - got) == Counter()
+        total += sum(want.values())
+    assert total > 300
+
+
+def test_propagation_against_the_interpreter():
+    """Straight-line programs: a sensitive name has the literals that running the program gives it."""
+    rng = random.Random(14)
+    for _ in range(200):
+        lines, value = [], {}
+        for n in range(12):
+            name = rng.choice(["passphrase", "signing_key", "plain", "other", "thing"]) + str(n)
+            known = [x for x in value if value[x]]
+            parts = []
+            for _ in range(rng.randrange(1, 3)):
+                parts.append(rng.choice(known) if known and rng.random() < 0.5 else repr("".join(rng.choices("abcdefXYZ0123456789/+'\"", k=rng.randrange(4, 20)))))
+            lines.append(f"{name} = {' + '.join(parts)}")
+            value[name] = [y for x in parts for y in (value[x] if x in value else [x])]
+        source, scope = "\n".join(lines), {}
+        exec(source, {}, scope)  # the test's own program
+        want = set()
+        for name, literals in value.items():
+            assert scope[name] == "".join(eval(x) for x in literals)  # noqa: S307
+            literal = secrets.literal_score(scope[name])
+            if literal and secrets.name_score(name) * (0.4 + 0.6 * literal) >= secrets.THRESHOLD:
+                want |= {x[1:-1] for x in literals}
+        assert want <= {text for text, _ in found(source)}
+
+
+@pytest.mark.parametrize("part", ['a = "', "'", "x.", "{", 'a="b"+', "<a>", "`", "a: ", "\\", '("', "--a ", '"""', "x['", "  k:\n", 'a="""', "${a}"])
+def test_the_lexer_is_linear(part):
+    began = time.perf_counter()
+    secrets.lexed_spans(part * 20_000)
+    once = time.perf_counter() - began
+    began = time.perf_counter()
+    secrets.lexed_spans(part * 80_000)
+    assert time.perf_counter() - began < 12 * once + 0.5
