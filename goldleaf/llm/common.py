@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from goldleaf.tables import forget, read_table, shared_dir, stored
+from goldleaf.tables import Scratch, forget, read_table, shared_dir, stored
 
-__all__ = ["ascii_words", "batches", "forget", "read_table", "shared_dir", "stored", "with_columns"]
+__all__ = ["Scratch", "ascii_words", "batches", "forget", "read_table", "shared_dir", "stored", "with_columns"]
 
 
 def ascii_words(column):

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 
 BITS_PER_ENTRY = 16
 #: Bits of the largest filter: 2**27, or 16 MB.
@@ -133,6 +133,11 @@ def exact_duplicates(
     digest: Callable[[Column], Column] = sha256,
 ) -> DataFrame:
     """One row for each input row: id, digest, keep_id, group_size, kept."""
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_exact_duplicates(docs, id_col, text_col, keep, digest), "exact")
+
+
+def _exact_duplicates(docs: DataFrame, id_col: str, text_col: str, keep: str, digest: Callable[[Column], Column]) -> DataFrame:
     whole = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     whole = whole.withColumn("digest", digest(F.col("text")))
     rows = stored(whole.select("id", "digest", F.spark_partition_id().alias("memtable")), "memtables")

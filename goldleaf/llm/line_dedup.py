@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_columns
+from .common import Scratch, stored, with_columns
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -267,8 +267,9 @@ def without_lines(text: str | None, keys: set[bytes], min_chars: int = MIN_CHARS
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with text_col less its repeated lines, and n_lines (before) and n_dropped."""
-    index = build_index(docs, id_col, text_col)
-    drops = index.drops(min_docs).select(F.col("id").alias("__id"), F.transform("keys", lambda k: F.concat(F.hex(k["hi"]), F.lit("."), F.hex(k["lo"]))).alias("__keys"))
+    with Scratch(docs.sparkSession) as scratch:
+        drops = scratch.result(build_index(docs, id_col, text_col).drops(min_docs), "drops", narrow=False)
+    drops = drops.select(F.col("id").alias("__id"), F.transform("keys", lambda k: F.concat(F.hex(k["hi"]), F.lit("."), F.hex(k["lo"]))).alias("__keys"))
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left").drop("__id")
 
     joined = joined.withColumn(text_col, F.col(text_col).cast("string"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from goldleaf.operators.clustering import components
 
 from . import minhash_kernel as kernel
-from .common import stored
+from .common import Scratch, stored
 
 WIDTH = 5
 BANDS, ROWS = 60, 7
@@ -215,6 +215,11 @@ def near_duplicates(
     threshold: tuple[int, int] = THRESHOLD,
 ) -> DataFrame:
     """id, n_shingles, component_id, kept of each document; links need ``threshold`` (part, whole) of the union."""
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_near_duplicates(docs, id_col, text_col, width, bands, rows, threshold), "near")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, threshold: tuple[int, int]) -> DataFrame:
     sketched = stored(sketches(docs, id_col, text_col, width, bands, rows), "sketch")
 
     # Equal sets: one representative, the least id.

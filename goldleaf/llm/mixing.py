@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, stored
+from .common import Scratch, ascii_words, stored
 
 #: (start, end) of the schedule by weight: heavier sources come in later.
 RAMPS = {1: (1.5, 0.5), 2: (1.0, 1.0), 3: (0.5, 1.5)}
@@ -101,7 +101,11 @@ def plan_mix(
     ``copies`` documents' repeats are taken (0 to ``cap``), at the training ``positions`` in [0, 1).
     With ``row_col``, that column comes along as ``row``.
     """
-    ramps = RAMPS if ramps is None else ramps
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_planned(docs, id_col, source_col, text_col, cycle, cap, RAMPS if ramps is None else ramps, row_col), "plan")
+
+
+def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, cycle: tuple[int, ...], cap: int, ramps: dict[int, tuple[float, float]], row_col: str | None) -> DataFrame:
     row = F.lit(None).cast("long") if row_col is None else docs[row_col]
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), ascii_words(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("text_key"), row.alias("row"))
     rows = rows.withColumn("shuffle_key", F.md5(F.col("id").cast("string").cast("binary")))
