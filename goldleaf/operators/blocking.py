@@ -17,6 +17,8 @@ KEYS = {
 }
 #: Larger blocks aren't paired, but reported.
 MAX_BLOCK = 1000
+#: Parties of a cell, where blocks of any size are paired.
+CELL = 500
 
 
 def key_rows(parties: DataFrame, id_column: str = "person_id") -> DataFrame:
@@ -31,17 +33,26 @@ def block_sizes(parties: DataFrame, id_column: str = "person_id") -> DataFrame:
     return key_rows(parties, id_column).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def block_pairs(parties: DataFrame, id_column: str = "person_id", max_block: int = MAX_BLOCK) -> DataFrame:
+def block_pairs(parties: DataFrame, id_column: str = "person_id", max_block: int | None = MAX_BLOCK) -> DataFrame:
     """left_id < right_id and the kinds of key that they share, joined by '+'.
 
     The keys of all kinds are paired in one join; a block of one makes no pair and one beyond
-    ``max_block`` is left out, so both are taken away before it.
+    ``max_block`` is left out, so both are taken away before it. With ``max_block=None`` no block is
+    left out: large ones are cut into cells of about ``CELL`` parties, and each pair of cells is
+    joined under a key of its own, so that no task pairs a whole block.
     """
     rows = key_rows(parties, id_column)
-    sizes = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, max_block)).drop("n")
-    rows = rows.join(sizes, ["kind", "key"], "left_semi")
-    left, right = rows.withColumnRenamed("id", "left_id"), rows.withColumnRenamed("id", "right_id")
-    pairs = left.join(right, ["kind", "key"]).where("left_id < right_id")
+    sizes = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    if max_block is not None:
+        sizes = sizes.where(F.col("n") <= max_block).withColumn("n", F.lit(1))
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    rows = rows.join(sizes.select("kind", "key", cells.alias("cells")), ["kind", "key"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    met = rows.select("id", "kind", "key", "own", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    met = met.select("id", "kind", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    left = met.select("kind", "key", "x", "y", F.col("id").alias("left_id"), F.col("own").alias("left_own"))
+    right = met.select("kind", "key", "x", "y", F.col("id").alias("right_id"), F.col("own").alias("right_own"))
+    pairs = left.join(right, ["kind", "key", "x", "y"]).where("left_id < right_id and (x = y or left_own <> right_own)")
     return pairs.groupBy("left_id", "right_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("blocking_keys"))
 
 

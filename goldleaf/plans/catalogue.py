@@ -112,9 +112,9 @@ def name_keys(spark, sf_dir):
     return parties(spark, sf_dir).select("person_id", *_joined("name_tokens"), "name_sorted_key", "name_initials")
 
 
-@query(f"SELECT doc_id, {O.phonetic(O.full_name('substr(text, 1, 40)'))} AS name_phonetic_key FROM documents", plain=False)
+@query(f"SELECT doc_id, {O.phonetic(O.full_name('text'))} AS name_phonetic_key FROM documents", plain=False)
 def name_phonetic_key(spark, sf_dir):
-    name = K.normalize_full_name(F.substring("text", 1, 40))
+    name = K.normalize_full_name(F.col("text"))
     return read_table(spark, sf_dir, "documents").select("doc_id", K.phonetic_key(name).alias("name_phonetic_key"))
 
 

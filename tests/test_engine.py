@@ -411,3 +411,23 @@ def test_operational_snapshot(spark):
     jobs = spark.createDataFrame([("PENDING", "2024-01-01 10:00:00"), ("DEAD", "2024-01-01 00:00:00")], "state string, v string").withColumn("visible_at", F.col("v").cast("timestamp"))
     log = spark.createDataFrame([("DONE", "2024-01-01 09:00:00"), ("FAILED", "2023-12-01 00:00:00")], "state string, t string").withColumn("at", F.col("t").cast("timestamp"))
     assert tuple(queue.operational_snapshot(jobs, log, "2024-01-01 11:00:00").first()) == (1, 0, 1, 3600, 1, 0)
+
+
+def test_blocks_of_any_size_pair_exactly(spark):
+    """A block of 1,500 is left out with the cap, and paired whole without one."""
+    rows = [(f"p{i:04}", "one@example.org", f"+4420{i // 3:07}") for i in range(1500)]
+    people = spark.createDataFrame(rows, "person_id string, email_normalized string, phone_e164 string")
+    capped = {tuple(r) for r in blocking.block_pairs(people).collect()}
+    assert len(capped) == 1500 and {k for *_, k in capped} == {"phone"}
+    whole = blocking.block_pairs(people, max_block=None)
+    counted = {r["blocking_keys"]: r["count"] for r in whole.groupBy("blocking_keys").count().collect()}
+    assert counted == {"email": 1500 * 1499 // 2 - 1500, "email+phone": 1500}
+    assert whole.select("left_id", "right_id").distinct().count() == 1500 * 1499 // 2
+
+
+def test_two_blocks_of_one_role_are_refused():
+    block = '[[party]]\nrole = "OWNER"\nkey_field = "K"\nkey_kind = "X"\n[party.fields]\nfull_name = "N"\n'
+    head = 'source_system = "S"\n[policy]\npolicy_number = "P"\n'
+    with pytest.raises(MappingError, match="OWNER 1"):
+        parse_mapping(head + block + block)
+    assert len(parse_mapping(head + block + block.replace('key_kind', 'role_sequence = 2\nkey_kind')).parties) == 2
