@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -11,9 +12,25 @@ from . import vocab
 
 _FROM = "".join(vocab.ACCENTS.values())
 _TO = "".join(letter * len(accented) for letter, accented in vocab.ACCENTS.items())
+_MARK = "\x01"
 _PREFIX = rf"^((?:(?:{'|'.join(vocab.PREFIXES)}) )+)"
 _SUFFIX = rf"((?: (?:{'|'.join(vocab.SUFFIXES)}))+)$"
-_PHONETIC_PARTS = rf"({'|'.join(k for k in vocab.PHONETIC if len(k) > 1)}|.)"
+_PHONETIC_PAIRS = {k: v for k, v in vocab.PHONETIC.items() if len(k) == 2}
+_PHONETIC_SWAPS = {k: v for k, v in vocab.PHONETIC.items() if len(k) == len(v) == 1}
+_PHONETIC_LONGER = {k: v for k, v in vocab.PHONETIC.items() if len(k) == 1 < len(v)}
+_ADDRESS_WORDS = rf"( (?:{'|'.join(sorted(vocab.ADDRESS, key=lambda k: (len(k), k)))}))"  # the shortest one wins
+
+
+def _fold(x: Column, pattern: str, table: Mapping[str, str]) -> Column:
+    """One left-to-right pass that replaces what ``pattern`` matches, its one group, by the table.
+
+    Matches are marked and the marked texts replaced, since a pattern can't look its replacement up;
+    the mark is in no normalised text.
+    """
+    marked = F.regexp_replace(x, pattern, f"$1{_MARK}")
+    for old, new in table.items():
+        marked = F.replace(marked, F.lit(old + _MARK), F.lit(new))
+    return marked
 
 
 def lookup(table: Mapping[str, str], key: Column) -> Column:
@@ -68,8 +85,10 @@ def sorted_key(normalized: Column) -> Column:
 
 def phonetic_key(normalized: Column) -> Column:
     """Order-free consonant skeleton: sound-alike groups fold, inner vowels and H go, doubles shrink."""
-    parts = F.regexp_extract_all(normalized, F.lit(_PHONETIC_PARTS), F.lit(1))
-    folded = F.array_join(F.transform(parts, lambda p: F.coalesce(lookup(vocab.PHONETIC, p), p)), "")
+    folded = _fold(normalized, f"({'|'.join(_PHONETIC_PAIRS)})", _PHONETIC_PAIRS)
+    folded = F.translate(folded, "".join(_PHONETIC_SWAPS), "".join(_PHONETIC_SWAPS.values()))
+    for letter, longer in _PHONETIC_LONGER.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(longer))
     bare = F.regexp_replace(F.regexp_replace(folded, r"\BH", ""), r"\B[AEIOUY]+", "")
     return sorted_key(F.regexp_replace(bare, r"([A-Z])\1", "$1"))
 
@@ -114,17 +133,10 @@ def normalize_policy_number(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(x), "[^A-Z0-9]", ""), "^([A-Z]*)0+([0-9])", "$1$2")
 
 
-def _address_parts() -> str:
-    shortest_first = sorted(vocab.ADDRESS, key=lambda k: (len(k), k))
-    return rf"( (?:{'|'.join(shortest_first)})|.)"
-
-
 def normalize_address(*lines: Column) -> Column:
     """One line in capitals with its common words shortened; empty, not null, where all lines are."""
     joined = F.concat(F.lit(" "), F.concat_ws(" ", *(F.coalesce(normalize_text(x), F.lit("")) for x in lines)))
-    table = {f" {k}": f" {v}" for k, v in vocab.ADDRESS.items()}
-    parts = F.regexp_extract_all(joined, F.lit(_address_parts()), F.lit(1))
-    folded = F.array_join(F.transform(parts, lambda p: F.coalesce(lookup(table, p), p)), "")
+    folded = _fold(joined, _ADDRESS_WORDS, {f" {k}": f" {v}" for k, v in vocab.ADDRESS.items()})
     return F.trim(F.regexp_replace(folded, r"\s+", " "))
 
 
@@ -154,9 +166,19 @@ def date_pattern(directives: str) -> str:
     return out
 
 
+def date_shape(directives: str) -> str:
+    """A pattern that every text of the format fits, and few others do."""
+    parts = re.split(r"(%.)", directives)
+    return "^" + "".join(("[+-]?[0-9]+" if p[1] not in "bB" else ".+") if p.startswith("%") else re.escape(p) for p in parts if p) + "$"
+
+
 def parse_date(x: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The first format that fits; null where none does."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(x), F.lit(date_pattern(f))) for f in formats)).cast("date")
+    """The first format that fits; null where none does.
+
+    A text of another shape isn't parsed: a failed parse costs an exception.
+    """
+    text = F.trim(x)
+    return F.coalesce(*(F.when(text.rlike(date_shape(f)), F.try_to_timestamp(text, F.lit(date_pattern(f)))) for f in formats)).cast("date")
 
 
 def parse_money(x: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from goldleaf.functions import kernels as K
 from goldleaf.model.registry import PERSON
 from goldleaf.sources.mapping import FieldMapping, PartyMapping, SourceMapping
+from goldleaf.tables import stored
 
 IDENTITY_SEPARATOR = "\x1f"
 
@@ -184,7 +185,8 @@ def shred_relationships(occurrences: DataFrame) -> DataFrame:
 
 
 def shred(raw: DataFrame, mapping: SourceMapping) -> Shredded:
-    occurrences = shred_parties(raw, mapping)
+    """The three outputs; occurrences are computed once and stored, parties and edges read them."""
+    occurrences = stored(shred_parties(raw, mapping), "occurrences")
     return Shredded(shred_policies(raw, mapping), occurrences, collapse_parties(occurrences), shred_relationships(occurrences))
 
 
