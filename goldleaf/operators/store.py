@@ -126,6 +126,12 @@ def upsert_crosswalk(current: DataFrame, incoming: DataFrame, now: str, key: Seq
     )
 
 
+def moved_keys(current: DataFrame, upserted: DataFrame, now: str, key: Sequence[str] = ("source_system", "source_key_kind", "source_party_key")) -> DataFrame:
+    """The rows that moved keys had before, as inactive: what is left of where a key used to point."""
+    moved = upserted.where("moved").select(*key)
+    return current.join(moved, list(key), "left_semi").withColumns({"is_active": F.lit(False), "last_seen": F.lit(now).cast("timestamp")})
+
+
 def edge_ids(edges: DataFrame) -> DataFrame:
     """Party-to-policy edges with an id that follows from what they join, null-safe in the sequence."""
     name = F.concat_ws("|", "person_id", "policy_number_normalized", "role", F.coalesce(F.col("role_sequence").cast("string"), F.lit("")))

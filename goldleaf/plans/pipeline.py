@@ -37,6 +37,8 @@ class Result:
     provenance: DataFrame
     memberships: DataFrame
     known: DataFrame
+    merged: DataFrame
+    exceptions: DataFrame
 
 
 def standardise(parties: DataFrame, active: list[rules.Rule], country_code: str) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +61,7 @@ def resolve(parties: DataFrame, overrides: DataFrame | None = None) -> Resolutio
 def run_pipeline(raw: DataFrame, mapping: SourceMapping, now: str, before: GoldenStore = GoldenStore(), active: list[rules.Rule] | None = None, overrides: DataFrame | None = None, trust: dict[str, float] | None = None) -> Result:
     """One batch into the store. Nothing of ``before`` is changed: the result has the new tables."""
     occurrences = stored(shred.shred_parties(raw, mapping), "occurrences")
-    parties, _ = standardise(shred.collapse_parties(occurrences), active or [], mapping.default_country_code)
+    parties, exceptions = standardise(shred.collapse_parties(occurrences), active or [], mapping.default_country_code)
     parties = stored(parties, "parties")
     resolution = resolve(parties, overrides)
     known = before.known if before.known is not None else raw.sparkSession.createDataFrame([], "person_id string, golden_id string")
@@ -86,4 +88,4 @@ def run_pipeline(raw: DataFrame, mapping: SourceMapping, now: str, before: Golde
     )
     relationships = party_policy.unionByName(household.party_edges(found))
     all_known = known.join(ids.select("person_id"), "person_id", "left_anti").unionByName(ids.select("person_id", "golden_id"))
-    return Result(person, policy, relationships, resolution.pairs, disputed, household.membership(persons, found), all_known)
+    return Result(person, policy, relationships, resolution.pairs, disputed, household.membership(persons, found), all_known, store.merge_pointers(ids), exceptions)
