@@ -6,6 +6,7 @@ decimals are doubles and doubles are rounded.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,12 +17,14 @@ from goldleaf.functions import kernels as K
 from goldleaf.functions import vocab
 from goldleaf.model.registry import PERSON
 from goldleaf.operators import blocking, clustering, fallback, gate, governance, household, ledger, quality, queue, reads, rules, scoring, shred, store, survive
+from goldleaf.operators.folder import Folder
 from goldleaf.sources import landing
 from goldleaf.sources.extract import policy_extract
 from goldleaf.sources.mapping import EXTRACT_MAPPING, load_mapping
 from goldleaf.streaming import ingest
-from goldleaf.tables import read_table, stored
+from goldleaf.tables import read_table, shared_dir, stored
 
+from . import jobs, operations
 from . import oracle as O
 
 MAPPING = load_mapping(EXTRACT_MAPPING)
@@ -273,7 +276,7 @@ def blocking_reduction(spark, sf_dir):
     return blocking.reduction(people, blocking.block_pairs(people))
 
 
-_CMP = [c.output for c in scoring.COMPARATORS if c.column in O.COLLAPSED]
+_CMP = [f"cmp_{name}" for name, c in scoring.COMPARATORS.items() if c[0] in O.COLLAPSED]
 
 
 @query("SELECT left_id, right_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _CMP) + " FROM scored", O.SCORED)
@@ -513,6 +516,115 @@ def constraint_violations(spark, sf_dir):
     return store.violations(versions, edges, judged)
 
 
+@query("SELECT entity, CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS versioned, true AS all_unchanged, (SELECT count(*) FROM policies) AS policies, 'REDELIVERED' AS delivered_again FROM (SELECT unnest(['person', 'policy', 'relationship']) AS entity)", O.POLICIES)
+def store_second_run(spark, sf_dir):
+    """Deliver the extract, process it, deliver it again, process the landed batch again: what the second run changes."""
+    folder = Folder(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    raw = stored(policy_extract(spark, sf_dir), "delivered")
+    jobs.deliver(folder, raw, MAPPING, "b1", "2024-01-01 00:00:00")
+    jobs.work(folder, MAPPING, "2024-01-02 00:00:00")
+    again = jobs.deliver(folder, raw.repartition(3), MAPPING, "b2", "2024-01-03 00:00:00").where("severity = 'ERROR'").agg(F.max("code").alias("delivered_again"))
+    jobs.requeue(folder, "b1", "2024-01-03 00:00:00")
+    jobs.work(folder, MAPPING, "2024-01-04 00:00:00")
+    view = folder.view()
+    runs = view.table("runs")
+    first = runs.where("ended_at < '2024-01-03'").select("entity", F.col("inserted").alias("made"))
+    policies = view.table("policy").agg(F.count(F.lit(1)).alias("n"))
+    out = runs.where("ended_at > '2024-01-03'").join(first, "entity").crossJoin(policies).crossJoin(again)
+    out = out.select("entity", "inserted", "versioned", (F.col("unchanged") == F.col("made")).alias("all_unchanged"), F.col("n").alias("policies"), "delivered_again")
+    out = stored(out, "second-run")
+    folder.delete()
+    return out
+
+
+# -- jobs, models and constraints, over rows that break them
+
+
+def _work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    at = F.timestamp_seconds(F.lit(1704067200) + k)
+    state = F.when(k % 3 == 0, "CLAIMED").when(k % 7 == 0, "DEAD").otherwise("PENDING")
+    return read_table(spark, sf_dir, "customer").select(k.alias("job_id"), state.alias("state"), (k % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"), at.alias("visible_at"), F.timestamp_seconds(F.lit(1704067200) + k % 100).alias("leased_until"))
+
+
+_WORK_ITEMS = "SELECT c_custkey AS k, c_custkey % 4 AS attempts, CASE WHEN c_custkey % 3 = 0 THEN 'CLAIMED' WHEN c_custkey % 7 = 0 THEN 'DEAD' ELSE 'PENDING' END AS state FROM customer"
+
+
+@query(f"SELECT k AS job_id, CASE WHEN attempts >= 3 THEN 'DEAD' ELSE 'PENDING' END AS state, CASE WHEN attempts >= 3 THEN k ELSE 1000 + CAST(pow(2, attempts) AS BIGINT) END AS seconds FROM ({_WORK_ITEMS}) WHERE state = 'CLAIMED'", plain=True)
+def queue_failures(spark, sf_dir):
+    """Claimed jobs that all failed at second 1000: later and later, then dead."""
+    rows = queue.failed(_work_items(spark, sf_dir).where("state = 'CLAIMED'"), "2024-01-01 00:16:40")
+    return rows.select("job_id", "state", (F.unix_timestamp("visible_at") - 1704067200).alias("seconds"))
+
+
+@query(f"SELECT k AS job_id, CASE WHEN state = 'CLAIMED' AND k % 100 < 50 THEN 'PENDING' ELSE state END AS state FROM ({_WORK_ITEMS})", plain=True)
+def queue_reaped(spark, sf_dir):
+    return queue.reap(_work_items(spark, sf_dir), "2024-01-01 00:00:50").select("job_id", "state")
+
+
+@query(f"""SELECT count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'CLAIMED') AS claimed, count(*) FILTER (state = 'DEAD') AS dead, 86400 - min(k) FILTER (state = 'PENDING') AS oldest_pending_seconds,
+  (SELECT count(*) FROM orders WHERE o_orderkey % 200 > 0 AND o_orderkey % 200 <= 100 AND o_orderkey % 3 = 0) AS done_24h, (SELECT count(*) FROM orders WHERE o_orderkey % 200 > 0 AND o_orderkey % 200 <= 100 AND o_orderkey % 3 = 1) AS failed_24h FROM ({_WORK_ITEMS})""", plain=True)
+def operational_snapshot(spark, sf_dir):
+    """At the second day's first second; each order is an event at a second, of which 1 to 100 lie within the last day."""
+    n, k = F.col("o_orderkey") % 200, F.col("o_orderkey") % 3
+    at = F.timestamp_seconds(F.lit(1704067200) + F.when(n <= 100, n).otherwise(n + 86400))
+    log = read_table(spark, sf_dir, "orders").select(at.alias("at"), F.when(k == 0, "DONE").when(k == 1, "FAILED").otherwise("CLAIMED").alias("state"))
+    return queue.operational_snapshot(_work_items(spark, sf_dir), log, "2024-01-02 00:00:00")
+
+
+def _model_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    steps = [("CANDIDATE", F.lit(True)), ("SHADOW", k % 2 == 0), ("ACTIVE", k % 3 == 0), ("RETIRED", k % 12 == 0)]
+    told = F.array(*(F.when(when, F.struct(F.lit(i).alias("event_id"), F.lit(state).alias("state"))) for i, (state, when) in enumerate(steps)))
+    rows = read_table(spark, sf_dir, "customer").select(k.alias("model"), F.col("c_nationkey").alias("kind"), k.cast("string").alias("digest"), F.explode(F.filter(told, lambda x: x.isNotNull())).alias("e"))
+    return rows.select("model", "kind", "digest", "e.*", F.timestamp_seconds(F.lit(1704067200) + F.col("model") + F.col("e.event_id")).alias("at"))
+
+
+@query("SELECT c_nationkey AS kind, max(c_custkey) AS model, CAST(max(c_custkey) AS VARCHAR) AS digest FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 12 <> 0 GROUP BY c_nationkey", plain=True)
+def active_models(spark, sf_dir):
+    return queue.active_models(_model_events(spark, sf_dir))
+
+
+@query("SELECT c_custkey AS model, 'ACTIVE' AS state FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0", plain=True)
+def illegal_transitions(spark, sf_dir):
+    """Models that went from candidate to active without a shadow run."""
+    return queue.illegal_transitions(_model_events(spark, sf_dir)).select("model", "state")
+
+
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS source_record_id FROM orders ORDER BY o_orderdate DESC, 1 LIMIT 1000", plain=True)
+def newest_landed(spark, sf_dir):
+    """The newest thousand of landed records: a top-k."""
+    landed = read_table(spark, sf_dir, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("source_record_id"), F.col("o_orderdate").alias("ingested_at"))
+    return landing.newest(landed, 1000).select("source_record_id")
+
+
+@query(f"WITH {_SCD} SELECT id, version, coalesce(segment, CASE WHEN is_current THEN 'S' || id END) AS segment FROM history", plain=True)
+def backfill_columns(spark, sf_dir):
+    """Segments that current versions lack, filled in without a version; closed ones stay as they were."""
+    history = _history(spark, sf_dir).history
+    incoming = history.select("id").distinct().withColumn("segment", F.concat(F.lit("S"), "id"))
+    return operations.backfill_columns(history, incoming, "id", ["segment"]).select("id", "version", "segment")
+
+
+_BROKEN = """broken AS (SELECT c_custkey AS k, c_custkey % 7 = 0 AS ends, c_custkey % 5 <> 0 AS live FROM customer), twice AS (SELECT * FROM broken UNION ALL SELECT * FROM broken WHERE k % 3 = 0)"""
+
+
+@query(f"""WITH {_BROKEN} SELECT 'validity_order' AS "constraint", count(*) AS violations FROM twice WHERE ends UNION ALL SELECT 'current_is_open', count(*) FROM twice WHERE live = ends
+  UNION ALL SELECT 'one_current_version', count(*) FROM broken WHERE live AND k % 3 = 0 UNION ALL SELECT 'target_is_policy_or_party', count(*) FROM broken WHERE (k % 3 = 0) = (k % 4 <> 0)
+  UNION ALL SELECT 'kind_fits_target', count(*) FROM broken WHERE (k % 2 = 0) <> (k % 4 = 0) UNION ALL SELECT 'role_present', count(*) FROM broken WHERE k % 2 <> 0 AND k % 6 = 3
+  UNION ALL SELECT 'no_self_edge', count(*) FROM broken WHERE k % 8 = 0 UNION ALL SELECT 'pair_is_ordered', count(*) FROM broken WHERE k % 9 = 0
+  UNION ALL SELECT 'score_in_range', count(*) FROM broken WHERE k % 12 = 11 UNION ALL SELECT 'ai_only_in_grey', count(*) FROM broken WHERE k % 2 = 0 AND k % 3 = 0""", plain=True)
+def violations_found(spark, sf_dir):
+    """Every constraint on rows that break it."""
+    rows, k = read_table(spark, sf_dir, "customer"), F.col("c_custkey")
+    day = lambda d: F.lit(d).cast("timestamp")
+    person = rows.unionByName(rows.where(k % 3 == 0)).select(k.alias("person_id"), day("2024-02-01").alias("valid_from"), F.when(k % 7 == 0, day("2024-01-01")).alias("valid_to"), (k % 5 != 0).alias("is_current"))
+    kind = F.when(k % 2 == 0, "PARTY_PARTY").otherwise("PARTY_POLICY")
+    edges = rows.select(kind.alias("edge_kind"), k.alias("from_person_id"), F.when(k % 3 != 0, "p").alias("to_policy_id"), F.when(k % 8 == 0, k).when(k % 4 == 0, k + 1).alias("to_person_id"), F.when(k % 6 != 3, "OWNER").alias("role"))
+    pairs = rows.select(k.alias("left_id"), F.when(k % 9 == 0, k - 1).otherwise(k + 1).alias("right_id"), ((k % 12) / 10.0).alias("score"), F.when(k % 2 != 0, "GREY").otherwise("AUTO_MATCH").alias("zone"), F.when(k % 3 == 0, 0.5).alias("ai_score"))
+    return store.violations(person, edges, pairs)
+
+
 # -- standardisation
 
 _CHECK_SQL = {

@@ -176,14 +176,14 @@ pairs AS (SELECT a.id AS left_id, b.id AS right_id, array_to_string(list_sort(li
 """
 
 
-def _compare(c: scoring.Comparator) -> str:
-    a, b = f"l.{c.column}", f"r.{c.column}"
-    if c.compare is scoring.exact:
+def _compare(column: str, agree) -> str:
+    a, b = f"l.{column}", f"r.{column}"
+    if agree is scoring.exact:
         body = f"CAST({a} = {b} AS DOUBLE)"
-    elif c.compare is scoring.jaccard:
+    elif agree is scoring.jaccard:
         x, y = f"list_distinct(string_split({a}, ' '))", f"list_distinct(string_split({b}, ' '))"
         body = f"CAST(len(list_intersect({x}, {y})) AS DOUBLE) / len(list_distinct(list_concat({x}, {y})))"
-    elif c.compare is scoring.prefix_similarity:
+    elif agree is scoring.prefix_similarity:
         equal = " + ".join(f"CAST(substr({a}, 1, {n}) = substr({b}, 1, {n}) AND least(length({a}), length({b})) >= {n} AS INT)" for n in range(1, 13))
         body = f"least(1.0, CAST({equal} AS DOUBLE) / greatest(length({a}), length({b})))"
     else:
@@ -192,9 +192,9 @@ def _compare(c: scoring.Comparator) -> str:
     return f"CASE WHEN length(CAST({a} AS VARCHAR)) > 0 AND length(CAST({b} AS VARCHAR)) > 0 THEN CAST({body} AS DOUBLE) END"
 
 
-_ACTIVE = [c for c in scoring.COMPARATORS if c.column in COLLAPSED]
-_WEIGHED = " + ".join(f"coalesce({c.output}, 0.0) * CAST({c.weight} AS DOUBLE)" for c in _ACTIVE)
-_FIRED = {c: f"CASE WHEN {c.output} IS NOT NULL THEN CAST({c.weight} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" for c in _ACTIVE}
+_ACTIVE = {f"cmp_{name}": c for name, c in scoring.COMPARATORS.items() if c[0] in COLLAPSED}
+_WEIGHED = " + ".join(f"coalesce({name}, 0.0) * CAST({weight} AS DOUBLE)" for name, (_, _, weight, _) in _ACTIVE.items())
+_FIRED = {name: f"CASE WHEN {name} IS NOT NULL THEN CAST({weight} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" for name, (_, _, weight, _) in _ACTIVE.items()}
 _CANON = lambda x: case(f"upper({x})", vocab.CANONICAL_GIVEN, f"upper({x})")
 _GIVEN = ("coalesce(l_given, '')", "coalesce(r_given, '')")
 _GREY = {
@@ -208,12 +208,12 @@ _GREY = {
 }
 
 SCORED = f"""
-compared AS (SELECT left_id, right_id, blocking_keys, {", ".join(f"{_compare(c)} AS {c.output}" for c in _ACTIVE)},
+compared AS (SELECT left_id, right_id, blocking_keys, {", ".join(f"{_compare(column, agree)} AS {name}" for name, (column, agree, _, _) in _ACTIVE.items())},
   coalesce(abs(date_diff('day', l.date_of_birth, r.date_of_birth)) > 366, false)
     OR coalesce(l.party_type <> r.party_type AND (l.party_type = 'PERSON' OR r.party_type = 'PERSON'), false) AS vetoed,
   l.given_name_derived AS l_given, r.given_name_derived AS r_given, l.surname_derived AS l_surname, r.surname_derived AS r_surname
   FROM pairs JOIN parties l ON l.person_id = left_id JOIN parties r ON r.person_id = right_id),
-weighed AS (SELECT *, {" + ".join(_FIRED.values())} AS evidence_weight, CAST(0 AS DOUBLE) + {" + ".join(x for c, x in _FIRED.items() if c.corroborating)} AS corroboration FROM compared),
+weighed AS (SELECT *, {" + ".join(_FIRED.values())} AS evidence_weight, CAST(0 AS DOUBLE) + {" + ".join(x for name, x in _FIRED.items() if _ACTIVE[name][3])} AS corroboration FROM compared),
 valued AS (SELECT *, CASE WHEN evidence_weight > 0 THEN greatest(0.0, least(1.0, ({_WEIGHED}) / evidence_weight)) ELSE 0.0 END AS score, corroboration < {scoring.MIN_CORROBORATION} AS under_corroborated FROM weighed),
 scored AS (SELECT *, CASE WHEN vetoed OR under_corroborated THEN 'AUTO_REJECT' WHEN score >= {scoring.AUTO_MATCH} THEN 'AUTO_MATCH' WHEN score < {scoring.AUTO_REJECT} THEN 'AUTO_REJECT' ELSE 'GREY' END AS zone FROM valued),
 featured AS (SELECT *, {", ".join(f"{x} AS {n}" for n, x in _GREY.items())} FROM scored),
