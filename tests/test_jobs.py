@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from goldleaf import tables
 from goldleaf.model.registry import PERSON
 from goldleaf.operators.folder import Conflict, Folder
 from goldleaf.operators import store
@@ -66,3 +67,31 @@ def test_failed_jobs_wait_and_die(spark, sf_dir, tmp_path, monkeypatch):
     assert jobs.work(folder, MAPPING, "2024-01-01 00:00:01") is None  # not yet due again
     assert [jobs.work(folder, MAPPING, f"2024-01-01 00:0{m}:00") for m in (1, 2, 3)] == ["PENDING", "DEAD", None]
     assert folder.view().table("person") is None
+
+
+def test_no_table_of_a_batch_is_computed_twice(spark, sf_dir, tmp_path, monkeypatch):
+    """Policies, gated parties and answers are stored, so what reads them repeats neither kernels nor fallback."""
+    from goldleaf.plans import pipeline
+
+    labels, kept = [], pipeline.stored
+    monkeypatch.setattr(pipeline, "stored", lambda df, label, *more: labels.append(label) or kept(df, label, *more))
+    raw = policy_extract(spark, sf_dir).orderBy("source_record_id").limit(20)
+    result = pipeline.run_pipeline(raw.select(*raw.columns), MAPPING, "2024-01-01 00:00:00")
+    assert {"occurrences", "policies", "gated", "asked", "parties"} <= set(labels)
+    for made in (result.exceptions, result.policy.history):
+        assert "regexp_replace" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_together_ends_all_before_it_raises(spark):
+    ended = []
+    with pytest.raises(ZeroDivisionError):
+        tables.together(lambda: 1 / 0, lambda: ended.append(spark.range(3).count()))
+    assert ended == [3] and tables.together(lambda: 1, lambda: 2) == [1, 2]
+
+
+def test_small_methods_hold_inside_only(spark):
+    before = spark.conf.get(tables.HUGE_METHOD)
+    with pytest.raises(ZeroDivisionError), tables.small_methods(spark):
+        assert spark.conf.get(tables.HUGE_METHOD) == "8000"
+        1 / 0
+    assert spark.conf.get(tables.HUGE_METHOD) == before
