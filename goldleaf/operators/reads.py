@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldleaf.functions import kernels as K
+from goldleaf.functions.kernels import filled
 from goldleaf.model.registry import EntitySpec
 
-from .blocking import KEYS, key_rows
-from .scoring import score_pairs
+from .blocking import KEYS
+from .scoring import COMPARATORS, VETOES, score_attached
 from .shred import with_party_keys
 
 SEARCH_LIMIT, PROBE_LIMIT, MATCH_LIMIT, POLICY_LIMIT = 200, 200, 10, 500
 MATCHED_ON = 0.99
+# Births more than 366 days apart are vetoed; slots of pairs where a date is missing.
+BIRTH_SLOT, ANY_BIRTH, NO_BIRTH = 367, -(2**31), 2**31 - 1
 
 
 def mask(rows: DataFrame, entity: EntitySpec) -> DataFrame:
@@ -41,17 +45,49 @@ def duplicate_check(probes: DataFrame, persons: DataFrame, country_code: str, pr
 
     Probes (probe_id, full_name, email_address, phone_raw, date_of_birth, address_line1, postal_code, ...)
     get the batch's own kernels and country code; a person is a candidate through any shared key.
+
+    Keys carry their attributes, so a pair is scored where it meets and never shuffled: each task passes on
+    its best ``limit`` of a probe. What a veto rules out doesn't meet, and a pair that shares several keys is
+    scored under the first.
     """
     keyed = with_party_keys(probes, country_code).withColumnRenamed(probe_id, "person_id")
-    asked, there = key_rows(keyed).withColumnRenamed("id", "left_id"), key_rows(persons).withColumnRenamed("id", "right_id")
-    pairs = asked.join(there, ["kind", "key"]).select("left_id", "right_id").distinct()
-    columns = [c for c in persons.columns if c in keyed.columns]
-    both = keyed.select(*columns).unionByName(persons.select(*columns))
-    scored = score_pairs(pairs, both).where("zone <> 'AUTO_REJECT'")
-    agreed = F.filter(F.array(*(F.when(F.col(c) >= MATCHED_ON, c[4:]) for c in scored.columns if c.startswith("cmp_"))), lambda x: x.isNotNull())
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", F.col("right_id").alias("id"), "zone", F.col("agreed"))), asc=False), 1, limit)
-    listed = scored.withColumn("agreed", agreed).groupBy("left_id").agg(best.alias("b"))
-    return listed.select(F.col("left_id").alias(probe_id), F.inline("b")).select(probe_id, F.col("id").alias("person_id"), "score", "zone", F.array_join("agreed", "+").alias("matched_on"))
+    compared = dict.fromkeys([*(c[0] for c in COMPARATORS.values()), *(v[0] for v in VETOES.values())])
+    columns = [c for c in compared if c in keyed.columns and c in persons.columns]
+    kinds = [c for c in KEYS.values() if c in columns]
+    asked, there = _met(keyed, "left", columns, kinds), _met(persons, "right", columns, kinds)
+    pairs = asked.join(there, ["kind", "key", "slot"])
+    shared = [filled(F.col(f"l_{c}")) & (F.col(f"l_{c}") == F.col(f"r_{c}")) for c in kinds]
+    first = F.coalesce(*(F.when(same, n) for n, same in enumerate(shared)))
+    vetoed = [F.coalesce(conflict(F.col(f"l_{c}"), F.col(f"r_{c}")), F.lit(False)) for c, conflict in VETOES.values() if c in columns]
+    pairs = pairs.where(first == F.col("kind")).where(~reduce(Column.__or__, vetoed, F.lit(False))).drop("kind", "key", "slot")
+    # A number that isn't determined by the row keeps the filter above the scores, else it repeats them all.
+    scored = score_attached(pairs).withColumn("__n", F.monotonically_increasing_id()).where("zone <> 'AUTO_REJECT' AND __n >= 0")
+    agreed = F.concat_ws("+", *(F.when(F.col(c) >= MATCHED_ON, c[4:]) for c in scored.columns if c.startswith("cmp_")))
+    listed = scored.select("left_id", "right_id", "score", "zone", agreed.alias("matched_on"))
+    order = Window.partitionBy("left_id").orderBy(F.col("score").desc(), F.col("right_id").desc())
+    best = listed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return best.select(F.col("left_id").alias(probe_id), F.col("right_id").alias("person_id"), "score", "zone", "matched_on")
+
+
+def _met(rows: DataFrame, side: str, columns: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """A row for each key and slot, with the attributes of its side.
+
+    Births further apart than BIRTH_SLOT days don't match, so a date meets its own slot and the two beside
+    it; who has none meets everybody. Every pair meets in one slot at most.
+    """
+    attributes = [F.col(c).alias(f"{side[0]}_{c}") for c in columns]
+    keys = F.array(*(F.struct(F.lit(n).alias("kind"), F.col(c).alias("key")) for n, c in enumerate(kinds)))
+    met = rows.select(F.col("person_id").alias(f"{side}_id"), *attributes, F.inline(keys)).where(filled(F.col("key")))
+    anybody, nobody = F.lit(ANY_BIRTH), F.lit(NO_BIRTH)
+    if "date_of_birth" not in columns:
+        return met.withColumn("slot", anybody)
+    born = F.col(f"{side[0]}_date_of_birth")
+    slot = F.floor(F.datediff(born, F.lit("1970-01-01").cast("date")) / BIRTH_SLOT).cast("int")
+    if side == "left":
+        slots = F.when(born.isNull(), F.array(anybody)).otherwise(F.array(slot - 1, slot, slot + 1, nobody))
+    else:
+        slots = F.array(anybody, F.coalesce(slot, nobody))
+    return met.withColumn("slot", F.explode(slots))
 
 
 def lineage(crosswalk: DataFrame, provenance: DataFrame, golden_id: str | Column) -> DataFrame:
@@ -62,8 +98,6 @@ def lineage(crosswalk: DataFrame, provenance: DataFrame, golden_id: str | Column
 
 def policies_of(edges: DataFrame, policies: DataFrame, limit: int = POLICY_LIMIT) -> DataFrame:
     """edges ⋈ policies, newest first within each party, at most ``limit`` each."""
-    from pyspark.sql import Window
-
     joined = edges.join(policies, "policy_id")
     order = Window.partitionBy("person_id").orderBy(F.col("effective_date").desc_nulls_last(), "policy_id", "role")
     return joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

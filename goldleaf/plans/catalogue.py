@@ -22,7 +22,7 @@ from goldleaf.sources import landing
 from goldleaf.sources.extract import policy_extract
 from goldleaf.sources.mapping import EXTRACT_MAPPING, load_mapping
 from goldleaf.streaming import ingest
-from goldleaf.tables import read_table, shared_dir, small_methods, stored
+from goldleaf.tables import Scratch, read_table, shared_dir, small_methods, stored
 
 from . import jobs, operations
 from . import oracle as O
@@ -781,8 +781,18 @@ def search(spark, sf_dir):
            "probed AS (SELECT DISTINCT a.id AS left_id, b.id AS right_id, '' AS blocking_keys FROM keys a JOIN keys b ON a.kind = b.kind AND a.key = b.key WHERE a.id LIKE '%D-%' AND NOT b.id LIKE '%D-%')", O.SCORED)])
 def duplicate_check(spark, sf_dir):
     """Every customer with a second number, as typed in at a desk, against all the others."""
-    people = parties(spark, sf_dir)
-    probes = people.where(F.contains("person_id", F.lit("D-"))).select(F.col("person_id").alias("probe_id"), "full_name", "date_of_birth", "gender", "email_address", F.col("phone_e164").alias("phone_raw"), "address_line1", "address_line2", "postal_code")
+    needed = dict.fromkeys(["person_id", *_TYPED, "phone_e164", *(c[0] for c in scoring.COMPARATORS.values()), *(v[0] for v in scoring.VETOES.values())])
+    with small_methods(spark), Scratch(spark) as scratch:
+        everybody = shred.collapse_parties(occurrences(spark, sf_dir))
+        people = stored(everybody.select(*(c for c in needed if c in everybody.columns)), "parties")
+        return scratch.result(_typed_in(people), "found")
+
+
+_TYPED = ("full_name", "date_of_birth", "gender", "email_address", "address_line1", "address_line2", "postal_code")
+
+
+def _typed_in(people: DataFrame) -> DataFrame:
+    probes = people.where(F.contains("person_id", F.lit("D-"))).select(F.col("person_id").alias("probe_id"), *_TYPED, F.col("phone_e164").alias("phone_raw"))
     found = reads.duplicate_check(probes, people.where(~F.contains("person_id", F.lit("D-"))), MAPPING.default_country_code)
     return found.select("probe_id", "person_id", F.round("score", 6).alias("score"), "zone")
 

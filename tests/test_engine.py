@@ -431,3 +431,28 @@ def test_two_blocks_of_one_role_are_refused():
     with pytest.raises(MappingError, match="OWNER 1"):
         parse_mapping(head + block + block)
     assert len(parse_mapping(head + block + block.replace('key_kind', 'role_sequence = 2\nkey_kind')).parties) == 2
+
+
+def test_duplicate_check_never_shuffles_pairs(spark):
+    """Pairs are scored where they meet, those of far births don't meet, and the best of each probe are those of all pairs."""
+    from goldleaf.operators.blocking import key_rows
+    from goldleaf.operators.scoring import score_pairs
+    from goldleaf.operators.shred import with_party_keys
+
+    def people(n, step, mark):
+        i = F.col("id")
+        born = F.when(i % 7 != 0, F.date_add(F.lit("1969-06-01").cast("date"), (i * step % 900).cast("int")))
+        phone = F.when(i % 5 != 0, F.concat(F.lit("0207900"), F.lpad((i % 40).cast("string"), 4, "0")))
+        return spark.range(n).select(F.concat(F.lit(mark), i).alias("person_id"), F.when(i % 3 == 0, "Ann Smith").when(i % 3 == 1, "Ann Smyth").otherwise("Smith Trust").alias("full_name"), born.alias("date_of_birth"), phone.alias("phone_raw"), F.lit(None).cast("string").alias("email_address"), F.lit("F").alias("gender"))
+
+    asked, there = people(40, 367, "p"), with_party_keys(people(200, 61, "r"), "44")
+    found = reads.duplicate_check(asked.withColumnRenamed("person_id", "probe_id"), there, "44")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and "WindowGroupLimit" in plan and "collect_list" not in plan
+    keyed = with_party_keys(asked, "44")
+    pairs = key_rows(keyed).withColumnRenamed("id", "left_id").join(key_rows(there).withColumnRenamed("id", "right_id"), ["kind", "key"]).select("left_id", "right_id").distinct()
+    best = {}
+    for r in score_pairs(pairs, keyed.unionByName(there)).where("zone <> 'AUTO_REJECT'").collect():
+        best.setdefault(r["left_id"], []).append((r["score"], r["right_id"], r["zone"]))
+    expected = sorted((p, i, s, z) for p, rows in best.items() for s, i, z in sorted(rows, reverse=True)[:10])
+    assert len(expected) > 200 and sorted((r["probe_id"], r["person_id"], r["score"], r["zone"]) for r in found.collect()) == expected
