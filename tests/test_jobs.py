@@ -1,5 +1,7 @@
 """The store in a folder: commits, deliveries, the worker and what a second run changes."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,60 @@ def test_small_methods_hold_inside_only(spark):
         assert spark.conf.get(tables.HUGE_METHOD) == "8000"
         1 / 0
     assert spark.conf.get(tables.HUGE_METHOD) == before
+
+
+def test_pairs_meet_with_their_attributes(spark, sf_dir):
+    """The pairs of the blocks, with the same kinds of key and attributes as by joins, and none of a block that is too large."""
+    from goldleaf.operators import blocking, scoring, shred
+
+    people = tables.stored(shred.collapse_parties(shred.shred_parties(policy_extract(spark, sf_dir), MAPPING)), "parties")
+    for most in (blocking.MAX_BLOCK, 3):
+        joined = scoring.attach_attributes(blocking.block_pairs(people, max_block=most), people)
+        met = blocking.met_pairs(people, scoring.compared_columns(people), max_block=most).select(*joined.columns)
+        assert joined.count() == met.count() > 0 and joined.exceptAll(met).isEmpty()
+
+
+def test_a_batch_shuffles_no_pair_and_leaves_no_scratch(spark, sf_dir, tmp_path, monkeypatch):
+    from goldleaf.plans import pipeline
+
+    made, kept = {}, pipeline.stored
+    monkeypatch.setattr(pipeline, "stored", lambda df, label, *more: made.update({label: df}) or kept(df, label, *more))
+    held, clear = [], tables.Scratch.clear
+    monkeypatch.setattr(tables.Scratch, "clear", lambda self: held.extend(self.paths) or clear(self))
+    folder = Folder(spark, f"file://{tmp_path}/store")
+    jobs.deliver(folder, policy_extract(spark, sf_dir).orderBy("source_record_id").limit(60), MAPPING, "b1", "2024-01-01 00:00:00")
+    assert jobs.work(folder, MAPPING, "2024-01-02 00:00:00") == "DONE"
+    assert "pairs" not in made and "l_address_key" not in made["scored"].columns and "l_surname_derived" in made["scored"].columns
+    assert any("/scored-" in path for path in held) and not any(Path(path.removeprefix("file://")).exists() for path in held)
+    assert folder.view().table("ledger").count() > 0
+
+
+def test_components_on_the_driver_are_those_of_the_rounds(spark, monkeypatch):
+    from goldleaf.operators import clustering
+
+    rows = [(f"n{a:03}", f"n{b:03}") for a, b in [(9, 3), (3, 7), (7, 9), (20, 21), (21, 40), (40, 5), (60, 61), (8, 8)]]
+    edges = spark.createDataFrame([*rows, ("é", "z"), ("z", "\U0001f600")], "u string, v string")
+    rounds = []
+    star = clustering._small_star
+    monkeypatch.setattr(clustering, "_small_star", lambda e: rounds.append(1) or star(e))
+    numbers = spark.range(40).selectExpr("id AS u", "id % 7 AS v")
+    at_once = [set(map(tuple, clustering.components(e).collect())) for e in (edges, numbers)]
+    assert not rounds
+    monkeypatch.setattr(clustering, "AT_ONCE", 0)
+    assert [set(map(tuple, clustering.components(e).collect())) for e in (edges, numbers)] == at_once and rounds
+    assert ("é", "z") in at_once[0] and ("n040", "n005") in at_once[0]
+
+
+def test_prefixes_and_scores_as_json(spark):
+    """Counting equal prefixes may end at the first that differs; the ledger's texts are those of to_json."""
+    from goldleaf.operators import ledger, scoring
+
+    names = ["A", "AB", "ABC DEF", "ABX DEF", "ABC DEFGHIJKLM", "ABC DEFGHIJKLMNO", "É B", "ÉB"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    for a, b, got in pairs.select("a", "b", scoring.prefix_similarity(F.col("a"), F.col("b"))).collect():
+        equal = sum(a[:n] == b[:n] and min(len(a), len(b)) >= n for n in range(1, 13))
+        assert got == min(1.0, equal / max(len(a), len(b)))
+    values = "'l' AS left_id, 'r' AS right_id, 'email' AS blocking_keys, 0.5D AS score, 'GREY' AS zone, false AS vetoed, 0.1D AS ai_score, 'MATCH' AS ai_decision, 'MATCH' AS final_decision, 'X' AS decided_by"
+    scored = spark.sql(f"SELECT {values}, c1 AS cmp_a, c2 AS cmp_b FROM VALUES (1.0D, 0.0D), (NULL, 1.0D / 3), (NULL, NULL), (0.9D, 1.0D / 70000) AS t(c1, c2)")
+    want = scored.selectExpr("to_json(map_filter(map('a', cmp_a, 'b', cmp_b), (k, v) -> v IS NOT NULL)) AS j")
+    assert sorted(r[0] for r in ledger.ledger_rows(scored, "r", "2024-01-01 00:00:00").select("comparator_scores").collect()) == sorted(r[0] for r in want.collect())
